@@ -22,13 +22,10 @@ def drop_unpriced(raw: DataFrame) -> DataFrame:
     return raw.drop("title", "link").na.drop(subset=["price", "area"])
 
 
-def clean(raw: DataFrame) -> DataFrame:
-    """Apply X20-X25 and return the CLEAN schema (plus ``listing_id`` if present)."""
-    keep_id = ["listing_id"] if "listing_id" in raw.columns else []
-    df = drop_unpriced(raw)
+def clean_columns() -> list:
+    """The clean columns as expressions over the raw text columns."""
     location = rules.fill_text("location")
-    df = df.select(
-        *keep_id,
+    return [
         rules.parse_price("price").alias(PRICE),
         rules.parse_area("area").alias(AREA),
         rules.fill_text("category").alias("category"),
@@ -41,7 +38,18 @@ def clean(raw: DataFrame) -> DataFrame:
         rules.district_of(location).alias("district"),
         rules.city_of(location).alias("city_province"),
         rules.parse_street("street").alias(STREET),
-    )
+    ]
+
+
+CLEAN_NAMES = [PRICE, AREA, "category", "direction", "liability", "floor_num",
+               "toilet_num", "livingroom_num", "bedroom_num", "district",
+               "city_province", STREET]
+
+
+def clean(raw: DataFrame) -> DataFrame:
+    """Apply X20-X25 and return the CLEAN schema (plus ``listing_id`` if present)."""
+    keep_id = ["listing_id"] if "listing_id" in raw.columns else []
+    df = drop_unpriced(raw).select(*keep_id, *clean_columns())
     # the source filters NOT LIKE '%negotiable%' on the parsed float,
     # which only removes the rows whose price could not be read.
     return df.filter(F.col(PRICE).isNotNull())

@@ -31,3 +31,104 @@ def avg_price_by_city(clean: DataFrame) -> DataFrame:
 def top_cities_by_price(clean: DataFrame, n: int = 10) -> DataFrame:
     """L2: the ``n`` cities with the highest mean price per m2."""
     return avg_price_by_city(clean).limit(n)
+
+
+def price_overview(clean: DataFrame) -> DataFrame:
+    """A1 + A2: mean, max, min and exact (interpolating) median price per m2."""
+    x = _price()
+    return clean.agg(F.avg(x).alias("avg_price"), F.max(x).alias("max_price"),
+                     F.min(x).alias("min_price"), F.median(x).alias("median_price"),
+                     F.count(x).alias("listings"))
+
+
+def price_quartiles(clean: DataFrame) -> DataFrame:
+    """A3: exact 25 % and 75 % quantiles (the default price-range bounds)."""
+    x = _price()
+    return clean.agg(F.percentile(x, F.lit(0.25)).alias("q25"),
+                     F.percentile(x, F.lit(0.75)).alias("q75"))
+
+
+def _range_bounds(clean: DataFrame, low: float | None, high: float | None):
+    if low is not None and high is not None:
+        return F.lit(float(low)), F.lit(float(high))
+    q = price_quartiles(clean)
+    lo = F.lit(float(low)) if low is not None else q.select("q25").scalar()
+    hi = F.lit(float(high)) if high is not None else q.select("q75").scalar()
+    return lo, hi
+
+
+def in_price_range(clean: DataFrame, low: float | None = None,
+                   high: float | None = None) -> DataFrame:
+    """listings with ``low <= price <= high``; bounds default to the quartiles."""
+    lo, hi = _range_bounds(clean, low, high)
+    return clean.filter(_price().between(lo, hi))
+
+
+def price_range_share(clean: DataFrame, low: float | None = None,
+                      high: float | None = None) -> DataFrame:
+    """F5 + A8: count and truncated percentage of listings in the range, with the
+    mean price and mean area of those listings, in one pass."""
+    lo, hi = _range_bounds(clean, low, high)
+    x = _price()
+    inside = x.between(lo, hi)
+    total = F.count(F.lit(1))
+    hits = F.count_if(inside)
+    return clean.agg(
+        lo.alias("range_low"), hi.alias("range_high"),
+        hits.alias("in_range"), total.alias("total"),
+        F.when(total > 0, F.floor(F.lit(100) * hits / total)).otherwise(F.lit(0))
+         .cast("bigint").alias("pct"),
+        F.avg(F.when(inside, x)).alias("avg_price"),
+        F.avg(F.when(inside, F.col(AREA).cast("double"))).alias("avg_area"))
+
+
+def price_range_listings(clean: DataFrame, low: float | None = None,
+                         high: float | None = None, n: int = 10) -> DataFrame:
+    """L3: the first ``n`` listings in the price range, by listing id."""
+    return (in_price_range(clean, low, high)
+            .select("listing_id", "city_province", "district",
+                    F.col(AREA).cast("double").alias("area_m2"),
+                    _price().alias(PRICE), "category")
+            .orderBy("listing_id").limit(n))
+
+
+def distinct_places(clean: DataFrame, approximate: bool = False) -> DataFrame:
+    """A5: number of distinct cities and districts (nulls not counted)."""
+    cd = F.approx_count_distinct if approximate else F.count_distinct
+    return clean.agg(cd("city_province").alias("cities"), cd("district").alias("districts"))
+
+
+def most_common(clean: DataFrame, col: str) -> DataFrame:
+    """The most frequent non-null value (ties: smallest value) and its count."""
+    return (clean.filter(F.col(col).isNotNull()).groupBy(col)
+                 .agg(F.count(F.lit(1)).alias("listings"))
+                 .orderBy(F.desc("listings"), col).limit(1))
+
+
+def avg_price_by_district(clean: DataFrame, city: str | None = None) -> DataFrame:
+    """A7 + F6: mean price per district (within ``city`` if given), highest first."""
+    df = clean.filter(F.col("district").isNotNull() & F.col("city_province").isNotNull())
+    if city is not None:
+        df = df.filter(F.col("city_province") == F.lit(city))
+    return (df.groupBy("city_province", "district")
+              .agg(F.avg(_price()).alias("avg_price_per_m2"), F.count(F.lit(1)).alias("listings"))
+              .orderBy("city_province", F.desc("avg_price_per_m2"), "district"))
+
+
+def districts_in_city(clean: DataFrame, city: str | None = None) -> DataFrame:
+    """L4 + F6: sorted distinct districts of each city (or of one city)."""
+    df = clean.filter(F.col("district").isNotNull() & F.col("city_province").isNotNull())
+    if city is not None:
+        df = df.filter(F.col("city_province") == F.lit(city))
+    return df.select("city_province", "district").distinct().orderBy("city_province", "district")
+
+
+OPTION_FIELDS = ["city_province", "category", "direction", "liability"]
+
+
+def sorted_options(clean: DataFrame, fields: list[str] = OPTION_FIELDS) -> DataFrame:
+    """L4: sorted distinct values of each selectable field, as (field, value)."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"))
+                      for f in fields])
+    return (clean.select(F.inline(pairs)).filter(F.col("value").isNotNull())
+                 .distinct().orderBy("field", "value"))

@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parcela.operators import market
+from parcela.operators import impute, market, profile
 from parcela.operators.clean import clean
 from parcela.sources.fixtures import raw_listings
 
@@ -42,3 +43,90 @@ def q_clean_listings(spark, sf_dir):
 @register("avg_price_by_city_top10")
 def q_avg_price_by_city_top10(spark, sf_dir):
     return market.top_cities_by_price(clean_listings_of(spark, sf_dir), 10)
+
+
+# --- profiling -------------------------------------------------------------
+
+@register("clean_report")
+def q_clean_report(spark, sf_dir):
+    return profile.cleaning_report(raw_listings(spark, sf_dir))
+
+
+@register("null_counts")
+def q_null_counts(spark, sf_dir):
+    return profile.null_counts(clean_listings_of(spark, sf_dir))
+
+
+@register("price_summary")
+def q_price_summary(spark, sf_dir):
+    s = profile.price_summary(impute.trim_prices(clean_listings_of(spark, sf_dir)))
+    return s.select("count", *[F.round(c, 4).alias(c) for c in
+                               ("mean", "stddev", "min", "p25", "p50", "p75", "max")])
+
+
+@register("price_boxplot")
+def q_price_boxplot(spark, sf_dir):
+    b = profile.price_boxplot(clean_listings_of(spark, sf_dir))
+    return b.select("stage", "n", "outliers", *[F.round(c, 4).alias(c) for c in
+                    ("q1", "median", "q3", "iqr", "whisker_low", "whisker_high")])
+
+
+# --- market statistics -----------------------------------------------------
+
+@register("price_overview")
+def q_price_overview(spark, sf_dir):
+    o = market.price_overview(clean_listings_of(spark, sf_dir))
+    return o.select("listings", "max_price", "min_price",
+                    F.round("avg_price", 4).alias("avg_price"),
+                    F.round("median_price", 4).alias("median_price"))
+
+
+@register("price_quartiles")
+def q_price_quartiles(spark, sf_dir):
+    q = market.price_quartiles(clean_listings_of(spark, sf_dir))
+    return q.select(F.round("q25", 4).alias("q25"), F.round("q75", 4).alias("q75"))
+
+
+@register("price_range_share")
+def q_price_range_share(spark, sf_dir):
+    s = market.price_range_share(clean_listings_of(spark, sf_dir))
+    return s.select("in_range", "total", "pct",
+                    *[F.round(c, 4).alias(c) for c in
+                      ("range_low", "range_high", "avg_price", "avg_area")])
+
+
+@register("price_range_listings")
+def q_price_range_listings(spark, sf_dir):
+    return market.price_range_listings(clean_listings_of(spark, sf_dir))
+
+
+@register("distinct_places")
+def q_distinct_places(spark, sf_dir):
+    return market.distinct_places(clean_listings_of(spark, sf_dir))
+
+
+@register("most_common_city")
+def q_most_common_city(spark, sf_dir):
+    return market.most_common(clean_listings_of(spark, sf_dir), "city_province")
+
+
+@register("most_common_district")
+def q_most_common_district(spark, sf_dir):
+    return market.most_common(clean_listings_of(spark, sf_dir), "district")
+
+
+@register("avg_price_by_district")
+def q_avg_price_by_district(spark, sf_dir):
+    d = market.avg_price_by_district(clean_listings_of(spark, sf_dir))
+    return d.select("city_province", "district", "listings",
+                    F.round("avg_price_per_m2", 4).alias("avg_price_per_m2"))
+
+
+@register("districts_in_city")
+def q_districts_in_city(spark, sf_dir):
+    return market.districts_in_city(clean_listings_of(spark, sf_dir))
+
+
+@register("sorted_options")
+def q_sorted_options(spark, sf_dir):
+    return market.sorted_options(clean_listings_of(spark, sf_dir))

@@ -121,3 +121,112 @@ WHERE city_province IS NOT NULL
 GROUP BY city_province
 ORDER BY avg_price_per_m2 DESC, city_province
 LIMIT 10""")
+
+# --- profiling -------------------------------------------------------------
+
+_RAW_COLS = ["title", "link", "price", "area", "category", "direction", "liability",
+             "location", "street", "floor_num", "toilet_num", "livingroom_num", "bedroom_num"]
+_DROP_COLS = _RAW_COLS[2:]
+_CLEAN_COLS = ["price_per_m2", "area (m2)", "category", "direction", "liability", "floor_num",
+               "toilet_num", "livingroom_num", "bedroom_num", "district", "city_province",
+               "street (m)"]
+
+
+def _report_part(stage: str, table: str, cols: list[str]) -> list[str]:
+    return [f"""SELECT '{stage}' AS stage, '{c}' AS column_name, CAST(count(*) AS BIGINT) AS rows,
+       CAST(count(*) - count("{c}") AS BIGINT) AS nulls FROM {table}""" for c in cols]
+
+
+SQL["clean_report"] = with_clean(
+    ", dropped AS (SELECT * FROM raw WHERE price IS NOT NULL AND area IS NOT NULL)\n"
+    + "\nUNION ALL\n".join(_report_part("raw", "raw", _RAW_COLS)
+                           + _report_part("after_drop", "dropped", _DROP_COLS)
+                           + _report_part("clean", "clean", _CLEAN_COLS)))
+
+SQL["null_counts"] = with_clean("SELECT " + ", ".join(
+    f'CAST(count(*) - count("{c}") AS BIGINT) AS "{c}"' for c in ["listing_id"] + _CLEAN_COLS)
+    + " FROM clean")
+
+SQL["price_summary"] = with_clean("""
+, t AS (SELECT CAST(price_per_m2 AS DOUBLE) AS x FROM clean WHERE price_per_m2 BETWEEN 2e6 AND 1e8)
+SELECT count(x) AS count, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS stddev,
+       round(min(x), 4) AS min, round(quantile_cont(x, 0.25), 4) AS p25,
+       round(quantile_cont(x, 0.5), 4) AS p50, round(quantile_cont(x, 0.75), 4) AS p75,
+       round(max(x), 4) AS max
+FROM t""")
+
+SQL["price_boxplot"] = with_clean("""
+, v AS (SELECT CAST(price_per_m2 AS DOUBLE) AS x FROM clean WHERE price_per_m2 IS NOT NULL),
+s AS (SELECT 'before_trim' AS stage, x FROM v
+      UNION ALL SELECT 'after_trim' AS stage, x FROM v WHERE x BETWEEN 2e6 AND 1e8),
+q AS (SELECT stage, count(x) AS n, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+             quantile_cont(x, 0.75) AS q3 FROM s GROUP BY stage),
+f AS (SELECT s.stage, s.x, q.q1 - 1.5 * (q.q3 - q.q1) AS lo, q.q3 + 1.5 * (q.q3 - q.q1) AS hi
+      FROM s JOIN q ON s.stage = q.stage),
+w AS (SELECT stage, min(CASE WHEN x BETWEEN lo AND hi THEN x END) AS wlo,
+             max(CASE WHEN x BETWEEN lo AND hi THEN x END) AS whi,
+             CAST(count(*) FILTER (WHERE NOT (x BETWEEN lo AND hi)) AS BIGINT) AS outliers
+      FROM f GROUP BY stage)
+SELECT q.stage, q.n, w.outliers, round(q.q1, 4) AS q1, round(q.median, 4) AS median,
+       round(q.q3, 4) AS q3, round(q.q3 - q.q1, 4) AS iqr, round(w.wlo, 4) AS whisker_low,
+       round(w.whi, 4) AS whisker_high
+FROM q JOIN w ON q.stage = w.stage""")
+
+# --- market statistics -----------------------------------------------------
+
+SQL["price_overview"] = with_clean("""
+SELECT count(price_per_m2) AS listings, max(CAST(price_per_m2 AS DOUBLE)) AS max_price,
+       min(CAST(price_per_m2 AS DOUBLE)) AS min_price,
+       round(avg(CAST(price_per_m2 AS DOUBLE)), 4) AS avg_price,
+       round(quantile_cont(CAST(price_per_m2 AS DOUBLE), 0.5), 4) AS median_price
+FROM clean""")
+
+SQL["price_quartiles"] = with_clean("""
+SELECT round(quantile_cont(CAST(price_per_m2 AS DOUBLE), 0.25), 4) AS q25,
+       round(quantile_cont(CAST(price_per_m2 AS DOUBLE), 0.75), 4) AS q75
+FROM clean""")
+
+_RANGE = """
+, b AS (SELECT quantile_cont(CAST(price_per_m2 AS DOUBLE), 0.25) AS lo,
+               quantile_cont(CAST(price_per_m2 AS DOUBLE), 0.75) AS hi FROM clean),
+r AS (SELECT clean.*, CAST(price_per_m2 AS DOUBLE) BETWEEN b.lo AND b.hi AS inside, b.lo, b.hi
+      FROM clean, b)"""
+
+SQL["price_range_share"] = with_clean(_RANGE + """
+SELECT CAST(count(*) FILTER (WHERE inside) AS BIGINT) AS in_range, CAST(count(*) AS BIGINT) AS total,
+       CAST(CASE WHEN count(*) > 0 THEN floor(100 * count(*) FILTER (WHERE inside) / count(*)) ELSE 0 END
+            AS BIGINT) AS pct,
+       round(min(lo), 4) AS range_low, round(min(hi), 4) AS range_high,
+       round(avg(CASE WHEN inside THEN CAST(price_per_m2 AS DOUBLE) END), 4) AS avg_price,
+       round(avg(CASE WHEN inside THEN CAST("area (m2)" AS DOUBLE) END), 4) AS avg_area
+FROM r""")
+
+SQL["price_range_listings"] = with_clean(_RANGE + """
+SELECT listing_id, city_province, district, CAST("area (m2)" AS DOUBLE) AS area_m2,
+       CAST(price_per_m2 AS DOUBLE) AS price_per_m2, category
+FROM r WHERE inside ORDER BY listing_id LIMIT 10""")
+
+SQL["distinct_places"] = with_clean("""
+SELECT count(DISTINCT city_province) AS cities, count(DISTINCT district) AS districts FROM clean""")
+
+for _name, _col in (("most_common_city", "city_province"), ("most_common_district", "district")):
+    SQL[_name] = with_clean(f"""
+SELECT {_col}, count(*) AS listings FROM clean WHERE {_col} IS NOT NULL
+GROUP BY {_col} ORDER BY listings DESC, {_col} LIMIT 1""")
+
+SQL["avg_price_by_district"] = with_clean("""
+SELECT city_province, district, count(*) AS listings,
+       round(avg(CAST(price_per_m2 AS DOUBLE)), 4) AS avg_price_per_m2
+FROM clean WHERE district IS NOT NULL AND city_province IS NOT NULL
+GROUP BY city_province, district""")
+
+SQL["districts_in_city"] = with_clean("""
+SELECT DISTINCT city_province, district FROM clean
+WHERE district IS NOT NULL AND city_province IS NOT NULL""")
+
+SQL["sorted_options"] = with_clean("""
+SELECT DISTINCT field, value FROM (
+  SELECT 'city_province' AS field, city_province AS value FROM clean
+  UNION ALL SELECT 'category', category FROM clean
+  UNION ALL SELECT 'direction', direction FROM clean
+  UNION ALL SELECT 'liability', liability FROM clean) WHERE value IS NOT NULL""")
