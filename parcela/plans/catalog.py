@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.operators import impute, market, profile
+from parcela.functions.text import price_text, total_price
+from parcela.operators import estimate, evaluate, features, impute, market, models, profile, score
+from parcela.schema import AREA, CATEGORICAL_FEATURES, PRICE
 from parcela.operators.clean import clean
 from parcela.sources.fixtures import raw_listings
 
@@ -130,3 +132,208 @@ def q_districts_in_city(spark, sf_dir):
 @register("sorted_options")
 def q_sorted_options(spark, sf_dir):
     return market.sorted_options(clean_listings_of(spark, sf_dir))
+
+
+# --- imputation and features ------------------------------------------------
+
+def model_table_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impute.model_table(clean_listings_of(spark, sf_dir))
+
+
+@register("impute_medians")
+def q_impute_medians(spark, sf_dir):
+    stats = impute.sentinel_medians(clean_listings_of(spark, sf_dir))
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__median").alias("median"),
+                     F.col(f"{c}__sentinels").alias("sentinels"), F.col(f"{c}__nulls").alias("nulls"))
+            for c in impute.IMPUTE_COLUMNS]
+    return stats.select(F.inline(F.array(*rows)))
+
+
+@register("model_table")
+def q_model_table(spark, sf_dir):
+    m = model_table_of(spark, sf_dir)
+    return m.withColumn("price_log", F.round("price_log", 9))
+
+
+@register("outlier_trim")
+def q_outlier_trim(spark, sf_dir):
+    c = clean_listings_of(spark, sf_dir)
+    x = F.col(PRICE).cast("double")
+    return c.agg(F.count(F.lit(1)).alias("rows_before"),
+                 F.count_if(x.between(impute.PRICE_TRIM_LOW, impute.PRICE_TRIM_HIGH)).alias("rows_after"),
+                 F.count_if(x < impute.PRICE_TRIM_LOW).alias("removed_low"),
+                 F.count_if(x > impute.PRICE_TRIM_HIGH).alias("removed_high"))
+
+
+@register("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    m = model_table_of(spark, sf_dir)
+    return (m.select(F.when(features.split_bucket() < 20, "test").otherwise("train").alias("split"))
+             .groupBy("split").agg(F.count(F.lit(1)).alias("rows")))
+
+
+def _model_cut(spark, sf_dir):
+    """Model table written to the checkpoint folder once; the fits read it back."""
+    from parcela.session import cut_lineage
+    return cut_lineage(model_table_of(spark, sf_dir))
+
+
+def _split(spark, sf_dir, model=None):
+    return features.train_test_split(model if model is not None else _model_cut(spark, sf_dir))
+
+
+def _labels_long(df: DataFrame, value_suffix: str) -> DataFrame:
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("label"),
+                     F.col(c + value_suffix).alias("value")) for c in CATEGORICAL_FEATURES]
+    return df.select(F.inline(F.array(*rows)))
+
+
+@register("label_index")
+def q_label_index(spark, sf_dir):
+    from pyspark.ml import Pipeline
+    model = _model_cut(spark, sf_dir)
+    train, _ = _split(spark, sf_dir, model)
+    fitted = Pipeline(stages=features.indexers()).fit(train)
+    out = _labels_long(fitted.transform(model), "_idx")
+    return (out.groupBy("column_name", "label", F.col("value").alias("label_index"))
+               .agg(F.count(F.lit(1)).alias("listings")))
+
+
+@register("one_hot")
+def q_one_hot(spark, sf_dir):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    model = _model_cut(spark, sf_dir)
+    train, _ = _split(spark, sf_dir, model)
+    fitted = Pipeline(stages=features.indexers() + features.encoders()).fit(train)
+    t = fitted.transform(model)
+    t = t.select(*CATEGORICAL_FEATURES, *[F.struct(
+        F.col(c + "_idx").alias("idx"),
+        F.size(vector_to_array(c + "_vec")).alias("size"),
+        (F.array_position(vector_to_array(c + "_vec"), F.lit(1.0)) - 1).alias("pos")).alias(c + "_oh")
+        for c in CATEGORICAL_FEATURES])
+    out = _labels_long(t, "_oh")
+    return (out.groupBy("column_name", "label", F.col("value.idx").alias("label_index"),
+                        F.col("value.size").cast("bigint").alias("vec_size"),
+                        F.col("value.pos").cast("bigint").alias("hot_pos"))
+               .agg(F.count(F.lit(1)).alias("listings")))
+
+
+@register("standardize")
+def q_standardize(spark, sf_dir):
+    train, _ = _split(spark, sf_dir)
+    fitted = features.feature_pipeline().fit(train)
+    scaler = fitted.stages[-1]
+    rows = [(i, float(m), float(s)) for i, (m, s) in
+            enumerate(zip(scaler.mean.toArray(), scaler.std.toArray()))]
+    stats = spark.createDataFrame(rows, "feature_index int, mean double, std double")
+    return stats.select("feature_index", F.round("mean", 6).alias("mean"),
+                        F.round("std", 6).alias("std"))
+
+
+# --- estimates ---------------------------------------------------------------
+
+def _requests_from(clean_df: DataFrame) -> DataFrame:
+    return clean_df.withColumnRenamed("listing_id", "request_id")
+
+
+@register("statistical_estimate")
+def q_statistical_estimate(spark, sf_dir):
+    c = clean_listings_of(spark, sf_dir)
+    e = estimate.statistical_estimate(_requests_from(c), c)
+    return e.select("request_id", "mean_source", "mean_price", "price_per_m2_est", "total_est")
+
+
+@register("comparables_top5")
+def q_comparables_top5(spark, sf_dir):
+    c = clean_listings_of(spark, sf_dir)
+    return estimate.comparables(_requests_from(c), c, k=5, exclude_self=True)
+
+
+@register("price_text")
+def q_price_text(spark, sf_dir):
+    c = clean_listings_of(spark, sf_dir).filter(F.col(AREA).isNotNull())
+    total = total_price(F.col(PRICE), F.col(AREA))
+    return c.select("listing_id", F.bround(PRICE, 0).cast("bigint").alias("price_per_m2_int"),
+                    total.alias("total_price"), price_text(total).alias("total_text"))
+
+
+# --- models --------------------------------------------------------------------
+
+@register("linear_regression")
+def q_linear_regression(spark, sf_dir):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    train, _ = _split(spark, sf_dir)
+    data = VectorAssembler(inputCols=[AREA], outputCol="f", handleInvalid="skip").transform(train)
+    lr = LinearRegression(featuresCol="f", labelCol="price_log", solver="normal").fit(data)
+    row = [(float(lr.coefficients[0]), float(lr.intercept))]
+    return spark.createDataFrame(row, "slope double, intercept double").select(
+        F.round("slope", 8).alias("slope"), F.round("intercept", 8).alias("intercept"))
+
+
+def _metrics_rounded(m: DataFrame) -> DataFrame:
+    return m.select("n", F.round("rmse", 2).alias("rmse"), F.round("mse", -4).alias("mse"),
+                    F.round("mae", 2).alias("mae"), F.round("r2", 8).alias("r2"))
+
+
+@register("regression_metrics")
+def q_regression_metrics(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    est = estimate.statistical_estimate(_requests_from(test), train)
+    pred = (est.select("request_id", F.col("mean_price").alias("predicted_price"))
+               .join(_requests_from(test).select("request_id", F.col(PRICE).alias("actual_price")),
+                     "request_id"))
+    return _metrics_rounded(evaluate.regression_metrics(pred))
+
+
+# Tree sizes for the registered (checked) queries; library defaults equal the
+# source job's (GBT 200 rounds depth 6, RF 200 trees depth 8).
+QUERY_GBT_ITER = 20
+QUERY_RF_TREES = 20
+
+
+def _fit_and_predict(spark, sf_dir, regressor):
+    train, test = _split(spark, sf_dir)
+    train = models.prepare_training(train)
+    fitted = models.fit_pipeline(train, regressor)
+    return models.PriceModel(fitted, models.training_medians(train)), test
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    train = models.prepare_training(train)
+    regs = {"linear_regression": models.linear_regression(),
+            "decision_tree": models.decision_tree(seed=42),
+            "random_forest": models.random_forest(num_trees=QUERY_RF_TREES),
+            "gbt": models.gbt(max_iter=QUERY_GBT_ITER)}
+    preds = {name: models.fit_pipeline(train, r).transform(test) for name, r in regs.items()}
+    return evaluate.compare_models(preds)
+
+
+def _score_query(spark, sf_dir, regressor):
+    model, test = _fit_and_predict(spark, sf_dir, regressor)
+    requests = _requests_from(test).drop(PRICE, "price_log", *[c for c in test.columns
+                                                                if c.endswith("_missing_flag")])
+    return score.score(model, requests)
+
+
+@register("gbt_score")
+def q_gbt_score(spark, sf_dir):
+    return _score_query(spark, sf_dir, models.gbt(max_iter=QUERY_GBT_ITER))
+
+
+@register("decision_tree_score")
+def q_decision_tree_score(spark, sf_dir):
+    return _score_query(spark, sf_dir, models.decision_tree(seed=42))
+
+
+@register("random_forest_score")
+def q_random_forest_score(spark, sf_dir):
+    return _score_query(spark, sf_dir, models.random_forest(num_trees=QUERY_RF_TREES))
+
+
+@register("linear_score")
+def q_linear_score(spark, sf_dir):
+    return _score_query(spark, sf_dir, models.linear_regression())

@@ -230,3 +230,199 @@ SELECT DISTINCT field, value FROM (
   UNION ALL SELECT 'category', category FROM clean
   UNION ALL SELECT 'direction', direction FROM clean
   UNION ALL SELECT 'liability', liability FROM clean) WHERE value IS NOT NULL""")
+
+# --- imputation and features ------------------------------------------------
+
+_IMPUTE = ["bedroom_num", "toilet_num", "floor_num", "livingroom_num"]
+_CATS = ["category", "direction", "liability", "district", "city_province"]
+
+MODEL_CTE = CLEAN_CTE + """,
+med AS (SELECT """ + ", ".join(
+    f"quantile_cont(CASE WHEN {c} != -1 THEN CAST({c} AS DOUBLE) END, 0.5) AS {c}" for c in _IMPUTE) + """
+        FROM clean),
+model_all AS (
+  SELECT clean.listing_id, CAST(clean.price_per_m2 AS DOUBLE) AS price_per_m2,
+         CAST(clean."area (m2)" AS DOUBLE) AS "area (m2)", clean.category, clean.direction, clean.liability,
+""" + "".join(f"""         CASE WHEN clean.{c} = -1 THEN med.{c} ELSE CAST(clean.{c} AS DOUBLE) END AS {c},
+""" for c in ["floor_num", "toilet_num", "livingroom_num", "bedroom_num"]) + """         clean.district, clean.city_province, CAST(clean."street (m)" AS DOUBLE) AS "street (m)",
+""" + ",\n".join(f"         CASE WHEN clean.{c} = -1 THEN 1 ELSE 0 END AS {c}_missing_flag" for c in _IMPUTE) + """
+  FROM clean, med),
+model AS (SELECT *, ln(1 + price_per_m2) AS price_log FROM model_all
+          WHERE price_per_m2 BETWEEN 2e6 AND 1e8),
+tr AS (SELECT * FROM model WHERE ((listing_id % 1000003) * 7919) % 100 >= 20),
+te AS (SELECT * FROM model WHERE ((listing_id % 1000003) * 7919) % 100 < 20)"""
+
+
+def with_model(body: str) -> str:
+    return "WITH " + MODEL_CTE + "\n" + body
+
+
+def _long_labels(table: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS label FROM {table}" for c in _CATS)
+
+
+LABELS_CTE = f""",
+tr_counts AS (SELECT column_name, label, count(*) AS cnt FROM ({_long_labels('tr')})
+              WHERE label IS NOT NULL GROUP BY ALL),
+ranks AS (SELECT column_name, label,
+                 row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, label) - 1 AS idx
+          FROM tr_counts),
+nlab AS (SELECT column_name, count(*) AS n FROM tr_counts GROUP BY ALL),
+all_idx AS (SELECT a.column_name, a.label, coalesce(r.idx, nl.n) AS idx, nl.n
+            FROM ({_long_labels('model')}) a
+            LEFT JOIN ranks r ON a.column_name = r.column_name AND a.label = r.label
+            JOIN nlab nl ON a.column_name = nl.column_name)"""
+
+SQL["impute_medians"] = with_clean(" UNION ALL ".join(f"""
+SELECT '{c}' AS column_name,
+       quantile_cont(CASE WHEN {c} != -1 THEN CAST({c} AS DOUBLE) END, 0.5) AS median,
+       count(*) FILTER (WHERE {c} = -1) AS sentinels, count(*) - count({c}) AS nulls
+FROM clean""" for c in _IMPUTE))
+
+SQL["model_table"] = with_model("""
+SELECT * REPLACE (round(price_log, 9) AS price_log) FROM model""")
+
+SQL["outlier_trim"] = with_clean("""
+SELECT count(*) AS rows_before,
+       count(*) FILTER (WHERE CAST(price_per_m2 AS DOUBLE) BETWEEN 2e6 AND 1e8) AS rows_after,
+       count(*) FILTER (WHERE CAST(price_per_m2 AS DOUBLE) < 2e6) AS removed_low,
+       count(*) FILTER (WHERE CAST(price_per_m2 AS DOUBLE) > 1e8) AS removed_high
+FROM clean""")
+
+SQL["train_test_split"] = with_model("""
+SELECT CASE WHEN ((listing_id % 1000003) * 7919) % 100 < 20 THEN 'test' ELSE 'train' END AS split,
+       count(*) AS rows
+FROM model GROUP BY ALL""")
+
+SQL["label_index"] = with_model(LABELS_CTE + """
+SELECT column_name, label, CAST(idx AS DOUBLE) AS label_index, count(*) AS listings
+FROM all_idx GROUP BY ALL""")
+
+SQL["one_hot"] = with_model(LABELS_CTE + """
+SELECT column_name, label, CAST(idx AS DOUBLE) AS label_index, CAST(n AS BIGINT) AS vec_size,
+       CAST(CASE WHEN idx < n THEN idx ELSE -1 END AS BIGINT) AS hot_pos, count(*) AS listings
+FROM all_idx GROUP BY ALL""")
+
+_NUMS = (["bedroom_num_missing_flag", "toilet_num_missing_flag", "floor_num_missing_flag",
+          "livingroom_num_missing_flag"]
+         + ["area (m2)", "floor_num", "toilet_num", "livingroom_num", "bedroom_num", "street (m)"])
+
+SQL["standardize"] = with_model(LABELS_CTE + """,
+v AS (SELECT * FROM tr WHERE "area (m2)" IS NOT NULL AND floor_num IS NOT NULL AND toilet_num IS NOT NULL
+      AND livingroom_num IS NOT NULL AND bedroom_num IS NOT NULL AND "street (m)" IS NOT NULL),
+nv AS (SELECT count(*) AS n FROM v),
+num AS (""" + " UNION ALL ".join(
+    f"""SELECT {i} AS feature_index, avg(CAST("{c}" AS DOUBLE)) AS mean,
+       stddev_samp(CAST("{c}" AS DOUBLE)) AS std FROM v""" for i, c in enumerate(_NUMS)) + """),
+pos AS (SELECT * FROM (VALUES """ + ", ".join(f"('{c}', {i})" for i, c in enumerate(_CATS)) + """) t(column_name, p)),
+offsets AS (SELECT nlab.column_name,
+                   10 + coalesce(sum(nlab.n) OVER (ORDER BY pos.p ROWS BETWEEN UNBOUNDED PRECEDING
+                                                   AND 1 PRECEDING), 0) AS off
+            FROM nlab JOIN pos ON nlab.column_name = pos.column_name),
+slot AS (SELECT r.column_name, r.idx, count(vl.label) AS cnt
+         FROM ranks r LEFT JOIN (""" + _long_labels("v") + """) vl
+           ON r.column_name = vl.column_name AND r.label = vl.label
+         GROUP BY ALL),
+oh AS (SELECT off + idx AS feature_index, cnt / nv.n AS mean,
+              sqrt(cnt * (nv.n - cnt) / (nv.n * (nv.n - 1.0))) AS std
+       FROM slot JOIN offsets ON slot.column_name = offsets.column_name, nv)
+SELECT CAST(feature_index AS INTEGER) AS feature_index, round(mean, 6) AS mean, round(std, 6) AS std
+FROM (SELECT * FROM num UNION ALL SELECT * FROM oh)""")
+
+# --- estimates ---------------------------------------------------------------
+
+
+def _estimate(requests: str, listings: str) -> str:
+    return f"""
+, req AS (SELECT listing_id AS request_id, category, district, direction, bedroom_num,
+                 CAST("area (m2)" AS DOUBLE) AS area,
+                 category IS NOT NULL AND trim(category) != '' AS cg,
+                 district IS NOT NULL AND trim(district) != '' AS dg
+          FROM {requests}),
+m_cd AS (SELECT category, district, avg(CAST(price_per_m2 AS DOUBLE)) AS a FROM {listings} GROUP BY ALL),
+m_c AS (SELECT category, avg(CAST(price_per_m2 AS DOUBLE)) AS a FROM {listings} GROUP BY ALL),
+m_d AS (SELECT district, avg(CAST(price_per_m2 AS DOUBLE)) AS a FROM {listings} GROUP BY ALL),
+m_all AS (SELECT avg(CAST(price_per_m2 AS DOUBLE)) AS a FROM {listings}),
+est0 AS (
+  SELECT req.*, coalesce(m_cd.a, m_c.a, m_d.a) AS group_avg,
+         CASE WHEN cg AND dg THEN 'category_district' WHEN cg THEN 'category'
+              WHEN dg THEN 'district' ELSE 'all' END AS lvl,
+         m_all.a AS overall
+  FROM req
+  LEFT JOIN m_cd ON req.cg AND req.dg AND m_cd.category = req.category AND m_cd.district = req.district
+  LEFT JOIN m_c ON req.cg AND NOT req.dg AND m_c.category = req.category
+  LEFT JOIN m_d ON req.dg AND NOT req.cg AND m_d.district = req.district
+  CROSS JOIN m_all),
+est AS (
+  SELECT request_id, CASE WHEN group_avg IS NOT NULL THEN lvl ELSE 'all' END AS mean_source,
+         coalesce(group_avg, overall) AS mean_price, area,
+         ((CASE WHEN bedroom_num >= 3 THEN 1.1::DOUBLE
+                WHEN bedroom_num <= 1 AND bedroom_num > 0 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END)
+          * (CASE WHEN direction IN ('Đông', 'Nam', 'Đông Nam') THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END))
+          * (CASE WHEN area < 50 AND area > 0 THEN 1.1::DOUBLE WHEN area > 100 THEN 0.95::DOUBLE
+                  ELSE 1.0::DOUBLE END) AS factor
+  FROM est0)"""
+
+
+SQL["statistical_estimate"] = with_clean(_estimate("clean", "clean") + """
+SELECT request_id, mean_source, mean_price,
+       CASE WHEN area > 0 AND mean_price IS NOT NULL THEN mean_price * factor ELSE 0.0 END
+         AS price_per_m2_est,
+       CASE WHEN area > 0 AND mean_price IS NOT NULL THEN (mean_price * factor) * area ELSE 0.0 END
+         AS total_est
+FROM est""")
+
+SQL["comparables_top5"] = with_clean("""
+, l AS (SELECT listing_id, city_province, district, CAST("area (m2)" AS DOUBLE) AS area_m2,
+               CAST(price_per_m2 AS DOUBLE) AS price_per_m2, bedroom_num, floor_num, category
+        FROM clean WHERE "area (m2)" IS NOT NULL AND district IS NOT NULL),
+r AS (SELECT listing_id AS request_id, city_province AS rc, district AS rd,
+             CAST("area (m2)" AS DOUBLE) AS ra FROM clean),
+p AS (SELECT r.request_id, l.* FROM r JOIN l
+        ON l.city_province = r.rc AND l.district = r.rd
+       AND l.area_m2 > r.ra * 0.7::DOUBLE AND l.area_m2 < r.ra * 1.3::DOUBLE
+       AND l.listing_id != r.request_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY listing_id) AS rk FROM p)
+SELECT request_id, CAST(rk AS INTEGER) AS rank, listing_id, area_m2, price_per_m2, bedroom_num,
+       floor_num, category
+FROM ranked WHERE rk <= 5""")
+
+
+def _text(x: str) -> str:
+    fmt = "format('{{:,}}', CAST({} AS BIGINT))"
+    f = fmt.format
+    return f"""CASE WHEN {x} >= 1000000000 THEN
+      CASE WHEN floor(({x} % 1000000000) / 1000000) = 0
+           THEN {f(f'floor({x} / 1000000000)')} || ' billion VND'
+           ELSE {f(f'floor({x} / 1000000000)')} || ' billion ' || {f(f'floor(({x} % 1000000000) / 1000000)')} || ' million VND' END
+    WHEN {x} >= 1000000 THEN
+      CASE WHEN floor(({x} % 1000000) / 1000) = 0
+           THEN {f(f'floor({x} / 1000000)')} || ' million VND'
+           ELSE {f(f'floor({x} / 1000000)')} || ' million ' || {f(f'floor(({x} % 1000000) / 1000)')} || ' thousand VND' END
+    WHEN {x} >= 1000 THEN {f(f'floor({x} / 1000)')} || ' thousand VND'
+    ELSE {f(x)} || ' VND' END"""
+
+
+SQL["price_text"] = with_clean("""
+, t AS (SELECT listing_id, CAST(round_even(CAST(price_per_m2 AS DOUBLE), 0) AS BIGINT) AS price_per_m2_int,
+               CAST("area (m2)" AS DOUBLE) AS area FROM clean WHERE "area (m2)" IS NOT NULL),
+u AS (SELECT listing_id, price_per_m2_int,
+             CAST(round_even(price_per_m2_int * area, 0) AS BIGINT) AS total_price FROM t)
+SELECT listing_id, price_per_m2_int, total_price, """ + _text("total_price") + """ AS total_text FROM u""")
+
+# --- models --------------------------------------------------------------------
+
+SQL["linear_regression"] = with_model("""
+SELECT round(regr_slope(price_log, "area (m2)"), 8) AS slope,
+       round(regr_intercept(price_log, "area (m2)"), 8) AS intercept
+FROM tr WHERE "area (m2)" IS NOT NULL""")
+
+SQL["regression_metrics"] = with_model(_estimate("te", "tr") + """,
+pr AS (SELECT est.request_id, est.mean_price AS predicted_price, CAST(te.price_per_m2 AS DOUBLE) AS y
+       FROM est JOIN te ON est.request_id = te.listing_id)
+SELECT count(*) AS n,
+       round(sqrt(sum((y - predicted_price) * (y - predicted_price)) / count(*)), 2) AS rmse,
+       round(sum((y - predicted_price) * (y - predicted_price)) / count(*), -4) AS mse,
+       round(avg(abs(y - predicted_price)), 2) AS mae,
+       round(1.0 - sum((y - predicted_price) * (y - predicted_price)) / (var_pop(y) * count(*)), 8) AS r2
+FROM pr""")
