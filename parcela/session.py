@@ -21,6 +21,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "Asia/Ho_Chi_Minh",
+    # HotSpot does not JIT-compile methods over 8000 bytes of bytecode; a
+    # whole-stage method above that runs interpreted.  Spark's documented
+    # advice for HotSpot is to fall back to per-operator codegen instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
