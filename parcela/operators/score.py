@@ -51,6 +51,8 @@ def flag_with_stored_medians(df: DataFrame, medians: dict[str, float]) -> DataFr
     """K7 at scoring time: flags from -1, fill with the training medians."""
     cols = []
     for name in df.columns:
+        if name.endswith("_missing_flag"):
+            continue  # recomputed below from the request's own values
         if name in IMPUTE_COLUMNS:
             v = F.col(name).cast("double")
             cols.append(F.when(v == UNKNOWN_NUMBER, F.lit(medians[name])).otherwise(v).alias(name))
