@@ -64,8 +64,9 @@ def _try_cast(c: Column, to: str) -> Column:
 
 def normalize_price_text(c: str | Column) -> Column:
     """X20 step 1: remove every ``~`` and a trailing ``/m2``."""
-    p = _when_contains(_c(c), "~", lambda x: F.translate(x, "~", ""))
-    return _when_contains(p, "/m2", lambda x: F.regexp_replace(x, r"\s*/m2$", ""))
+    # Input referenced once: this text is inlined into the pushed-down
+    # price filter, where Spark does not share common subexpressions.
+    return F.regexp_replace(F.translate(_c(c), "~", ""), r"\s*/m2$", "")
 
 
 def price_from_text(p: str | Column) -> Column:
@@ -130,7 +131,7 @@ def city_of(location: str | Column) -> Column:
 
 def street_parts(c: str | Column) -> Column:
     """X24 step 1: remove every ``m`` and split on ``-`` (null stays null)."""
-    return F.split(_when_contains(_c(c), "m", lambda x: F.translate(x, "m", "")), "-")
+    return F.split(F.translate(_c(c), "m", ""), "-")
 
 
 def street_from_parts(parts: str | Column) -> Column:

@@ -12,8 +12,9 @@ partitions it splits.
 id) in the same city and district with ``0.7 a < area < 1.3 a``.  It never
 pairs a request with a whole district: for every (city, district, area)
 value only the first k+1 listing ids can ever be chosen, so those are kept
-first (a group-limited window, computed partially before the shuffle), and
-requests are joined to that bounded set.
+first (a group-limited window, computed partially before the shuffle);
+each distinct request key is answered once from that bounded set, and the
+answers reach the requests by an equi-join (AQE splits a hot key).
 """
 
 from __future__ import annotations
@@ -97,6 +98,13 @@ def comparables(requests: DataFrame, listings: DataFrame, k: int = 5,
 
     ``exclude_self`` drops the listing whose id equals the request id (when
     the requests are listings themselves).
+
+    Exact in three bounded steps: (1) per (city, district, area value) keep
+    the first k+1 listing ids; (2) answer each *distinct* request key
+    (city, district, area) from those; (3) hand the k+1 answers to every
+    request with that key by an equi-join, drop the request itself, keep k.
+    Work grows with distinct keys times area values in range, not with
+    requests times listings.
     """
     keep = k + 1 if exclude_self else k
     cand = listings.select("listing_id", "city_province", "district",
@@ -106,13 +114,19 @@ def comparables(requests: DataFrame, listings: DataFrame, k: int = 5,
     cand = cand.filter(F.col("area_m2").isNotNull() & F.col("district").isNotNull())
     w = Window.partitionBy("city_province", "district", "area_m2").orderBy("listing_id")
     bounded = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep).drop("_r")
+
     req = requests.select(F.col(id_col).alias("_rid"), F.col("city_province").alias("_rc"),
                           F.col("district").alias("_rd"), F.col(AREA).cast("double").alias("_ra"))
-    cond = ((req._rc == bounded.city_province) & (req._rd == bounded.district)
-            & (bounded.area_m2 > req._ra * F.lit(low)) & (bounded.area_m2 < req._ra * F.lit(high)))
+    keys = req.select("_rc", "_rd", "_ra").filter(F.col("_ra").isNotNull()).distinct()
+    cond = ((keys._rc == bounded.city_province) & (keys._rd == bounded.district)
+            & (bounded.area_m2 > keys._ra * F.lit(low)) & (bounded.area_m2 < keys._ra * F.lit(high)))
+    wk = Window.partitionBy("_rc", "_rd", "_ra").orderBy("listing_id")
+    per_key = (keys.join(bounded, cond).withColumn("_r", F.row_number().over(wk))
+                   .filter(F.col("_r") <= keep).drop("_r", "city_province", "district"))
+
+    pairs = req.join(per_key, ["_rc", "_rd", "_ra"])
     if exclude_self:
-        cond = cond & (bounded.listing_id != req._rid)
-    pairs = req.join(bounded, cond)
+        pairs = pairs.filter(F.col("listing_id") != F.col("_rid"))
     w2 = Window.partitionBy("_rid").orderBy("listing_id")
     ranked = pairs.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
     return ranked.select(F.col("_rid").alias(id_col), "rank", "listing_id", "area_m2", PRICE,

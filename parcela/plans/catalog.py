@@ -15,6 +15,7 @@ from parcela.functions.text import price_text, total_price
 from parcela.operators import estimate, evaluate, features, impute, market, models, profile, score
 from parcela.schema import AREA, CATEGORICAL_FEATURES, PRICE
 from parcela.operators.clean import clean
+from parcela.session import cut_lineage
 from parcela.sources.fixtures import raw_listings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +29,16 @@ def register(name: str):
     return deco
 
 
-def clean_listings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(raw_listings(spark, sf_dir))
+def clean_listings_of(spark: SparkSession, sf_dir: str, reused: bool = False) -> DataFrame:
+    """Clean listings derived from the driver tables.
+
+    ``reused``: the query reads the table more than once (a scalar subquery
+    plus the main pass, a self-join, medians then rows), so it is written
+    once to the shared checkpoint folder instead of re-deriving the joins
+    and re-parsing every row for each read.
+    """
+    df = clean(raw_listings(spark, sf_dir))
+    return cut_lineage(df) if reused else df
 
 
 @register("raw_listings")
@@ -68,7 +77,7 @@ def q_price_summary(spark, sf_dir):
 
 @register("price_boxplot")
 def q_price_boxplot(spark, sf_dir):
-    b = profile.price_boxplot(clean_listings_of(spark, sf_dir))
+    b = profile.price_boxplot(clean_listings_of(spark, sf_dir, reused=True))
     return b.select("stage", "n", "outliers", *[F.round(c, 4).alias(c) for c in
                     ("q1", "median", "q3", "iqr", "whisker_low", "whisker_high")])
 
@@ -91,7 +100,7 @@ def q_price_quartiles(spark, sf_dir):
 
 @register("price_range_share")
 def q_price_range_share(spark, sf_dir):
-    s = market.price_range_share(clean_listings_of(spark, sf_dir))
+    s = market.price_range_share(clean_listings_of(spark, sf_dir, reused=True))
     return s.select("in_range", "total", "pct",
                     *[F.round(c, 4).alias(c) for c in
                       ("range_low", "range_high", "avg_price", "avg_area")])
@@ -99,7 +108,7 @@ def q_price_range_share(spark, sf_dir):
 
 @register("price_range_listings")
 def q_price_range_listings(spark, sf_dir):
-    return market.price_range_listings(clean_listings_of(spark, sf_dir))
+    return market.price_range_listings(clean_listings_of(spark, sf_dir, reused=True))
 
 
 @register("distinct_places")
@@ -137,7 +146,8 @@ def q_sorted_options(spark, sf_dir):
 # --- imputation and features ------------------------------------------------
 
 def model_table_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impute.model_table(clean_listings_of(spark, sf_dir))
+    # medians (one pass) then the rows (second pass) read the clean table
+    return impute.model_table(clean_listings_of(spark, sf_dir, reused=True))
 
 
 @register("impute_medians")
@@ -174,7 +184,6 @@ def q_train_test_split(spark, sf_dir):
 
 def _model_cut(spark, sf_dir):
     """Model table written to the checkpoint folder once; the fits read it back."""
-    from parcela.session import cut_lineage
     return cut_lineage(model_table_of(spark, sf_dir))
 
 
@@ -239,14 +248,14 @@ def _requests_from(clean_df: DataFrame) -> DataFrame:
 
 @register("statistical_estimate")
 def q_statistical_estimate(spark, sf_dir):
-    c = clean_listings_of(spark, sf_dir)
+    c = clean_listings_of(spark, sf_dir, reused=True)
     e = estimate.statistical_estimate(_requests_from(c), c)
     return e.select("request_id", "mean_source", "mean_price", "price_per_m2_est", "total_est")
 
 
 @register("comparables_top5")
 def q_comparables_top5(spark, sf_dir):
-    c = clean_listings_of(spark, sf_dir)
+    c = clean_listings_of(spark, sf_dir, reused=True)
     return estimate.comparables(_requests_from(c), c, k=5, exclude_self=True)
 
 
