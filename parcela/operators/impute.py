@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcela.operators.joins import scalar_row
 from parcela.schema import IMPUTE_COLUMNS, PRICE, PRICE_TRIM_HIGH, PRICE_TRIM_LOW, UNKNOWN_NUMBER
 
 
@@ -50,8 +51,8 @@ def flag_and_fill(df: DataFrame, columns: list[str] = IMPUTE_COLUMNS,
     ``df`` itself in a single pass.
     """
     if medians is None:
-        stats = sentinel_medians(df, columns, approximate)
-        medians = {c: stats.select(f"{c}__median").scalar() for c in columns}
+        stats = scalar_row(sentinel_medians(df, columns, approximate))
+        medians = {c: stats[f"{c}__median"] for c in columns}
     out = []
     for name in df.columns:
         if name in columns:
@@ -68,12 +69,12 @@ def flag_and_fill(df: DataFrame, columns: list[str] = IMPUTE_COLUMNS,
 
 def fill_with_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """K8: -1 -> exact median of the non-sentinel rows, no flag (page preprocessing)."""
-    stats = sentinel_medians(df, columns)
+    stats = scalar_row(sentinel_medians(df, columns))
     out = []
     for name in df.columns:
         if name in columns:
             v = F.col(name).cast("double")
-            m = stats.select(f"{name}__median").scalar()
+            m = stats[f"{name}__median"]
             out.append(F.when(v == UNKNOWN_NUMBER, m).otherwise(v).alias(name))
         else:
             out.append(F.col(name))

@@ -39,3 +39,14 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     w = Window.partitionBy(*g).orderBy(*order)
     return (df.withColumn(rank_col, F.row_number().over(w))
               .filter(F.col(rank_col) <= k))
+
+
+def scalar_row(one_row: DataFrame) -> dict[str, Column]:
+    """The columns of a one-row aggregate as scalar-subquery values.
+
+    The row is read as ONE struct-valued scalar subquery, so every field
+    reference reuses the same subquery and the aggregate runs once; no join
+    and no collect to the driver.
+    """
+    s = one_row.select(F.struct(*one_row.columns).alias("s")).scalar()
+    return {c: s.getField(c) for c in one_row.columns}

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcela.operators.joins import scalar_row
 from parcela.schema import AREA, PRICE
 
 
@@ -51,9 +52,9 @@ def price_quartiles(clean: DataFrame) -> DataFrame:
 def _range_bounds(clean: DataFrame, low: float | None, high: float | None):
     if low is not None and high is not None:
         return F.lit(float(low)), F.lit(float(high))
-    q = price_quartiles(clean)
-    lo = F.lit(float(low)) if low is not None else q.select("q25").scalar()
-    hi = F.lit(float(high)) if high is not None else q.select("q75").scalar()
+    q = scalar_row(price_quartiles(clean))
+    lo = F.lit(float(low)) if low is not None else q["q25"]
+    hi = F.lit(float(high)) if high is not None else q["q75"]
     return lo, hi
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcela.operators.clean import CLEAN_NAMES, clean_columns
+from parcela.operators.joins import scalar_row
 from parcela.schema import PRICE, PRICE_TRIM_HIGH, PRICE_TRIM_LOW
 
 RAW_NAMES = ["title", "link", "price", "area", "category", "direction", "liability",
@@ -104,8 +105,8 @@ def price_boxplot(df: DataFrame, col: str = PRICE, low: float = PRICE_TRIM_LOW,
     after = F.when(F.col("in_trim"), F.col("x"))
     quart = vals.agg(_q(F.col("x"), 0.25).alias("q1b"), _q(F.col("x"), 0.75).alias("q3b"),
                      _q(after, 0.25).alias("q1a"), _q(after, 0.75).alias("q3a"))
-    q1b, q3b = quart.select("q1b").scalar(), quart.select("q3b").scalar()
-    q1a, q3a = quart.select("q1a").scalar(), quart.select("q3a").scalar()
+    q = scalar_row(quart)
+    q1b, q3b, q1a, q3a = q["q1b"], q["q3b"], q["q1a"], q["q3a"]
 
     def stage(name: str, v: Column, q1: Column, q3: Column) -> list[Column]:
         lo, hi = q1 - F.lit(1.5) * (q3 - q1), q3 + F.lit(1.5) * (q3 - q1)
