@@ -317,8 +317,7 @@ def q_model_comparison(spark, sf_dir):
             "decision_tree": models.decision_tree(seed=42),
             "random_forest": models.random_forest(num_trees=QUERY_RF_TREES),
             "gbt": models.gbt(max_iter=QUERY_GBT_ITER)}
-    preds = {name: models.fit_pipeline(train, r).transform(test) for name, r in regs.items()}
-    return evaluate.compare_models(preds)
+    return evaluate.compare_models(models.fit_compare(train, test, regs))
 
 
 def _score_query(spark, sf_dir, regressor):

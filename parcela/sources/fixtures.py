@@ -91,8 +91,28 @@ def derive_raw(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
     )
 
 
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan on ``key`` when it yields fewer splits than the
+    cluster has task slots (e.g. one large single-row-group file).
+
+    The key is the scan's next join key, so the exchange stands in for the
+    join's own shuffle.  A scan that already has enough splits (any real
+    multi-file table) is returned untouched, so at scale nothing is added.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, key)
+
+
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw (all-text) listings for one scale-factor folder of driver tables."""
     t = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
          for name in ("lineitem", "orders", "customer", "nation", "part")}
-    return derive_raw(t["lineitem"], t["orders"], t["customer"], t["nation"], t["part"])
+    # Below the broadcast threshold any of these may end up the streamed
+    # side, so each is spread on its join key (nation is always broadcast).
+    return derive_raw(spread_scan(t["lineitem"], "l_orderkey"),
+                      spread_scan(t["orders"], "o_orderkey"),
+                      spread_scan(t["customer"], "c_custkey"),
+                      t["nation"],
+                      spread_scan(t["part"], "p_partkey"))
