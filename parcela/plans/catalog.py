@@ -15,7 +15,7 @@ from parcela.functions.text import price_text, total_price
 from parcela.operators import estimate, evaluate, features, impute, market, models, profile, score
 from parcela.schema import AREA, CATEGORICAL_FEATURES, PRICE
 from parcela.operators.clean import clean
-from parcela.session import cut_lineage
+from parcela.session import cut_lineage, persist
 from parcela.sources.fixtures import raw_listings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -304,7 +304,7 @@ QUERY_RF_TREES = 20
 
 def _fit_and_predict(spark, sf_dir, regressor):
     train, test = _split(spark, sf_dir)
-    train = models.prepare_training(train)
+    train = persist(train)  # a filter over the written model table
     fitted = models.fit_pipeline(train, regressor)
     return models.PriceModel(fitted, models.training_medians(train)), test
 
@@ -312,7 +312,7 @@ def _fit_and_predict(spark, sf_dir, regressor):
 @register("model_comparison")
 def q_model_comparison(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    train = models.prepare_training(train)
+    train = persist(train)  # a filter over the written model table
     regs = {"linear_regression": models.linear_regression(),
             "decision_tree": models.decision_tree(seed=42),
             "random_forest": models.random_forest(num_trees=QUERY_RF_TREES),

@@ -6,8 +6,9 @@ from ``lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ part`` by a fixed rule
 markers and gaps that the cleaning rules have to handle.
 
 Join plan: the 25-row nation table is broadcast behind a row-count check;
-customer -> orders -> lineitem -> part are equi-joins left to the planner,
-so AQE picks broadcast or shuffle from measured sizes at run time.  The
+customer -> orders and -> part are equi-joins left to the planner, so AQE
+picks broadcast or shuffle from measured sizes at run time; lineitem ->
+orders is a merge join on orderkey (the join it is at any real scale).  The
 projections are pushed into each parquet scan.
 """
 
@@ -37,7 +38,9 @@ def derive_raw(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
 
     placed = c.join(n, c.c_nationkey == n.n_nationkey)
     orders_placed = o.join(placed, o.o_custkey == placed.c_custkey)
-    rows = (li.join(orders_placed, li.l_orderkey == orders_placed.o_orderkey)
+    # Both fact tables are (or at scale, get) hash-partitioned on orderkey,
+    # so a merge join needs no further exchange; never broadcast lineitem.
+    rows = (li.hint("merge").join(orders_placed, li.l_orderkey == orders_placed.o_orderkey)
               .join(p, li.l_partkey == p.p_partkey))
 
     rid = F.col("l_orderkey") * 10 + F.col("l_linenumber")
