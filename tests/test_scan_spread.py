@@ -1,0 +1,19 @@
+"""Scan spreading: a single-split scan is hash-partitioned on its join key
+to the cluster's task slots; a scan with enough splits is left alone."""
+
+from parcela.sources.fixtures import spread_scan
+
+
+def test_single_split_scan_is_spread(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(1000).selectExpr("id AS k").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert df.rdd.getNumPartitions() == 1
+    out = spread_scan(df, "k")
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.k for r in out.collect()) == list(range(1000))
+
+
+def test_wide_scan_is_untouched(spark):
+    df = spark.range(0, 1000, 1, spark.sparkContext.defaultParallelism).selectExpr("id AS k")
+    assert spread_scan(df, "k") is df
