@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from parcela.llm.bpe import op8_bpe_codec
+from parcela.llm.line_dedup import OP1_SQL, op1_line_dedup
+from parcela.llm.line_rules import op10_line_rules
 from parcela.llm.packing import op6_packing
+from parcela.llm.qda import op9_qda_quality
 from parcela.llm.tokencount import op7_token_counts
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_qda_quality": op9_qda_quality,
+    "op10_line_rules": op10_line_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+}
