@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from parcela.llm.bpe import op8_bpe_codec
+from parcela.llm.html_text import op3_html_text
 from parcela.llm.line_dedup import OP1_SQL, op1_line_dedup
 from parcela.llm.line_rules import op10_line_rules
 from parcela.llm.packing import op6_packing
 from parcela.llm.qda import op9_qda_quality
 from parcela.llm.tokencount import op7_token_counts
+from parcela.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_html_text": op3_html_text,
+    "op4_warc": op4_warc,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
     "op8_bpe_codec": op8_bpe_codec,
@@ -20,4 +24,5 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op4_warc": OP4_SQL,
 }
