@@ -9,10 +9,12 @@ from parcela.llm.line_rules import op10_line_rules
 from parcela.llm.packing import op6_packing
 from parcela.llm.qda import op9_qda_quality
 from parcela.llm.tokencount import op7_token_counts
+from parcela.llm.topk import OP2_SQL, op2_topk
 from parcela.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_topk": op2_topk,
     "op3_html_text": op3_html_text,
     "op4_warc": op4_warc,
     "op6_packing": op6_packing,
@@ -24,5 +26,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op2_topk": OP2_SQL,
     "op4_warc": OP4_SQL,
 }
