@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from parcela.llm.bpe import op8_bpe_codec
 from parcela.llm.html_text import op3_html_text
+from parcela.llm.jaccard import OP5_SQL, op5_jaccard_join
 from parcela.llm.line_dedup import OP1_SQL, op1_line_dedup
 from parcela.llm.line_rules import op10_line_rules
 from parcela.llm.packing import op6_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_topk": op2_topk,
     "op3_html_text": op3_html_text,
     "op4_warc": op4_warc,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
     "op8_bpe_codec": op8_bpe_codec,
@@ -28,4 +30,5 @@ SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op2_topk": OP2_SQL,
     "op4_warc": OP4_SQL,
+    "op5_jaccard_join": OP5_SQL,
 }
