@@ -22,6 +22,16 @@ def thousands(c: Column) -> Column:
     return F.format_number(c, 0)
 
 
+def one_decimal(c: Column) -> Column:
+    """Fixed one-decimal text, ``{:.1f}`` (no thousands separators)."""
+    return F.translate(F.format_number(c.cast("double"), 1), ",", "")
+
+
+def billions(total: Column) -> Column:
+    """A whole amount in billions."""
+    return total / F.lit(1e9)
+
+
 def price_text(price: Column) -> Column:
     """X11: tiered text for a whole-VND amount.
 

@@ -56,25 +56,6 @@ def parsed_columns() -> list:
     ]
 
 
-def clean_columns() -> list:
-    """The clean columns as single expressions over the raw text columns."""
-    location = rules.fill_text("location")
-    return [
-        rules.parse_price("price").alias(PRICE),
-        rules.parse_area("area").alias(AREA),
-        rules.fill_text("category").alias("category"),
-        rules.fill_text("direction").alias("direction"),
-        rules.fill_text("liability").alias("liability"),
-        rules.parse_floors(rules.fill_count("floor_num")).alias("floor_num"),
-        rules.to_int(rules.fill_count("toilet_num")).alias("toilet_num"),
-        rules.to_int(rules.fill_count("livingroom_num")).alias("livingroom_num"),
-        rules.parse_rooms(rules.fill_count("bedroom_num")).alias("bedroom_num"),
-        rules.district_of(location).alias("district"),
-        rules.city_of(location).alias("city_province"),
-        rules.parse_street("street").alias(STREET),
-    ]
-
-
 CLEAN_NAMES = [PRICE, AREA, "category", "direction", "liability", "floor_num",
                "toilet_num", "livingroom_num", "bedroom_num", "district",
                "city_province", STREET]

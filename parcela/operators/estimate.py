@@ -1,24 +1,29 @@
 """Market-statistics valuation and comparable listings.
 
 ``statistical_estimate`` values any number of requests at once.  The mean
-price of every (category, district), category, district and the whole table
-comes from ONE ``cube`` aggregate; each request is mapped to the single
-lookup key its given fields select, so one equi-join replaces a cascade of
-joins.  The lookup table has one row per group; AQE broadcasts it when its
-measured size is small, and otherwise runs a shuffle join whose skewed
-partitions it splits.
+price of every (category, district), category and district comes from ONE
+``cube`` aggregate; each request is mapped to the single lookup key its given
+fields select, so one equi-join replaces a cascade of joins.  The lookup
+table has one row per group; AQE broadcasts it when its measured size is
+small, and otherwise runs a shuffle join whose skewed partitions it splits.
 
 ``comparables`` finds, for each request, the first k listings (by listing
-id) in the same city and district with ``0.7 a < area < 1.3 a``.  It never
-pairs a request with a whole district: for every (city, district, area)
-value only the first k+1 listing ids can ever be chosen, so those are kept
-first (a group-limited window, computed partially before the shuffle);
-each distinct request key is answered once from that bounded set, and the
-answers reach the requests by an equi-join (AQE splits a hot key).
+id) in the same city and district with ``0.7 a < area < 1.3 a``.  Areas lie
+on a fine logarithmic grid, and every listing stands in its grid cell and in
+the cells of twice, four times, ... that size, up to the request's span.
+Only a cell's first ids can be chosen, so these are kept (a group-limited
+window, computed partially before the shuffle).  A request's range is a few
+dozen whole cells plus the two finest cells at its ends, where areas are
+compared one by one.  All joins are on city, district and cell, so a
+district with very many listings spreads over its cells, and work grows with
+listings and requests, not with their product.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +33,8 @@ ALL = "*"
 
 
 def _given(c: Column) -> Column:
-    return c.isNotNull() & (F.trim(c.cast("string")) != "")
+    """A field is a filter unless it is missing or empty; blanks are a value that nothing matches."""
+    return c.isNotNull() & (c.cast("string") != "")
 
 
 def _key(value: Column, given: Column) -> Column:
@@ -62,19 +68,20 @@ def adjustment_factor(req: DataFrame) -> Column:
 
 
 def statistical_estimate(requests: DataFrame, listings: DataFrame,
-                         id_col: str = "request_id") -> DataFrame:
+                         id_col: str = "request_id", carry: Sequence[str] = ()) -> DataFrame:
     """K17 for a whole table of requests.
 
     Mean of the listings matching the given category AND district (a blank
     field is not a filter); if none match, the whole table's mean (never a
     coarser group).  Area <= 0 or missing, or no listings, gives 0.
-    Returns the per-m2 estimate and the total (per m2 x area) separately.
+    Returns the per-m2 estimate and the total (per m2 x area) separately, and
+    the request columns named in ``carry``.
     """
     means = group_means(listings)
-    overall = means.filter((F.col("_kc") == ALL) & (F.col("_kd") == ALL)).select("group_avg").scalar()
+    overall = listings.agg(F.avg(F.col(PRICE).cast("double"))).scalar()
     cg, dg = _given(F.col("category")), _given(F.col("district"))
     req = requests.select(
-        id_col, "category", "district", "direction", "bedroom_num", AREA,
+        id_col, *carry, "category", "district", "direction", "bedroom_num", AREA,
         _key(F.col("category"), cg).alias("_kc"), _key(F.col("district"), dg).alias("_kd"),
         F.when(cg & dg, "category_district").when(cg, "category").when(dg, "district")
          .otherwise("all").alias("_level"))
@@ -84,50 +91,87 @@ def statistical_estimate(requests: DataFrame, listings: DataFrame,
     valid = area.isNotNull() & (area > 0) & base.isNotNull()
     per_m2 = base * adjustment_factor(joined)
     return joined.select(
-        id_col,
+        id_col, *carry,
         F.when(F.col("group_avg").isNotNull(), F.col("_level")).otherwise("all").alias("mean_source"),
         base.alias("mean_price"),
         F.when(valid, per_m2).otherwise(F.lit(0.0)).alias("price_per_m2_est"),
         F.when(valid, per_m2 * area).otherwise(F.lit(0.0)).alias("total_est"))
 
 
+#: Finest grid cells in the span of a request's range, as a power of two.
+GRID_BITS = 13
+
+
+def _cell(area: Column, low: float, high: float) -> Column:
+    """Number of an area's finest grid cell; a larger area has no smaller number."""
+    return F.floor(F.log(area) * F.lit((1 << GRID_BITS) / math.log(high / low))).cast("bigint")
+
+
+def _whole_cells(first: Column, end: Column) -> Column:
+    """The fewest cells (level, cell) that make up the finest cells ``first`` to before ``end``.
+
+    From the finest level up, an end that is not shared with its neighbour is taken
+    on its own; the rest is halved.
+    """
+    def step(s: Column, level: Column) -> Column:
+        going = s["a"] < s["z"]
+        left, right = going & (F.pmod(s["a"], F.lit(2)) == 1), going & (F.pmod(s["z"], F.lit(2)) == 1)
+        a = F.when(left, s["a"] + 1).otherwise(s["a"])
+        z = F.when(right, s["z"] - 1).otherwise(s["z"])
+        cell = lambda number: F.struct(level.alias("level"), number.alias("cell"))
+        # An odd left end that is also the only cell is taken once.
+        found = F.concat(s["cells"], F.when(left, F.array(cell(s["a"]))).otherwise(F.slice(F.array(cell(s["a"])), 1, 0)),
+                         F.when(right & (z >= a), F.array(cell(z))).otherwise(F.slice(F.array(cell(z)), 1, 0)))
+        return F.struct(F.floor(a / 2).cast("bigint").alias("a"), F.floor(z / 2).cast("bigint").alias("z"), found.alias("cells"))
+
+    none = F.array().cast("array<struct<level:int,cell:bigint>>")
+    start = F.struct(first.alias("a"), end.alias("z"), none.alias("cells"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(GRID_BITS)), start, step, lambda s: s["cells"])
+
+
 def comparables(requests: DataFrame, listings: DataFrame, k: int = 5,
                 id_col: str = "request_id", exclude_self: bool = False,
                 low: float = 0.7, high: float = 1.3) -> DataFrame:
     """Up to ``k`` comparable listings per request, ranked by listing id.
 
-    ``exclude_self`` drops the listing whose id equals the request id (when
-    the requests are listings themselves).
-
-    Exact in three bounded steps: (1) per (city, district, area value) keep
-    the first k+1 listing ids; (2) answer each *distinct* request key
-    (city, district, area) from those; (3) hand the k+1 answers to every
-    request with that key by an equi-join, drop the request itself, keep k.
-    Work grows with distinct keys times area values in range, not with
-    requests times listings.
+    ``exclude_self`` drops listings whose id equals the request id (when the
+    requests are listings themselves).  Requests that repeat an id are ranked
+    apart if city, district or area differ, and answered once if not; listings
+    that repeat an id are ranked by area and price.
     """
     keep = k + 1 if exclude_self else k
-    cand = listings.select("listing_id", "city_province", "district",
-                           F.col(AREA).cast("double").alias("area_m2"),
-                           F.col(PRICE).cast("double").alias(PRICE),
-                           "bedroom_num", "floor_num", "category")
-    cand = cand.filter(F.col("area_m2").isNotNull() & F.col("district").isNotNull())
-    w = Window.partitionBy("city_province", "district", "area_m2").orderBy("listing_id")
-    bounded = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep).drop("_r")
+    place = ["city_province", "district"]
+    details = ["listing_id", "area_m2", PRICE, "bedroom_num", "floor_num", "category"]
+    cand = (listings.select("listing_id", *place, F.col(AREA).cast("double").alias("area_m2"),
+                            F.col(PRICE).cast("double").alias(PRICE), "bedroom_num", "floor_num", "category")
+            .where("area_m2 > 0 AND city_province IS NOT NULL AND district IS NOT NULL")
+            .withColumn("_fine", _cell(F.col("area_m2"), low, high)))
+
+    def first_ids(df: DataFrame, by: list[str]) -> DataFrame:
+        # dense_rank: rows of one id stand or fall together
+        w = Window.partitionBy(*by).orderBy("listing_id")
+        return df.withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= keep).drop("_r")
+
+    few = first_ids(cand, [*place, "area_m2"])
+    levels = F.explode(F.sequence(F.lit(0), F.lit(GRID_BITS)))
+    cells = (few.withColumn("level", levels).withColumn("cell", F.expr("shiftright(_fine, level)")).drop("_fine"))
+    cells = first_ids(cells, [*place, "level", "cell"])
 
     req = requests.select(F.col(id_col).alias("_rid"), F.col("city_province").alias("_rc"),
-                          F.col("district").alias("_rd"), F.col(AREA).cast("double").alias("_ra"))
-    keys = req.select("_rc", "_rd", "_ra").filter(F.col("_ra").isNotNull()).distinct()
-    cond = ((keys._rc == bounded.city_province) & (keys._rd == bounded.district)
-            & (bounded.area_m2 > keys._ra * F.lit(low)) & (bounded.area_m2 < keys._ra * F.lit(high)))
-    wk = Window.partitionBy("_rc", "_rd", "_ra").orderBy("listing_id")
-    per_key = (keys.join(bounded, cond).withColumn("_r", F.row_number().over(wk))
-                   .filter(F.col("_r") <= keep).drop("_r", "city_province", "district"))
-
-    pairs = req.join(per_key, ["_rc", "_rd", "_ra"])
+                          F.col("district").alias("_rd"), F.col(AREA).cast("double").alias("_ra")).distinct()
+    key = ["_rc", "_rd", "_ra"]
+    keys = (req.select(*key).where("_ra > 0 AND _rc IS NOT NULL AND _rd IS NOT NULL").distinct()
+            .withColumn("_a", _cell(F.col("_ra") * F.lit(low), low, high)).withColumn("_z", _cell(F.col("_ra") * F.lit(high), low, high)))
+    whole = keys.select(*key, F.inline(_whole_cells(F.col("_a") + 1, F.col("_z"))))
+    by_cell = whole.join(cells.withColumnsRenamed({"city_province": "_rc", "district": "_rd"}), ["_rc", "_rd", "level", "cell"])
+    ends = keys.select(*key, F.explode(F.array_distinct(F.array("_a", "_z"))).alias("_fine"))
+    by_area = (ends.join(few.withColumnsRenamed({"city_province": "_rc", "district": "_rd"}), ["_rc", "_rd", "_fine"])
+               .where((F.col("area_m2") > F.col("_ra") * F.lit(low)) & (F.col("area_m2") < F.col("_ra") * F.lit(high))))
+    per_key = first_ids(by_cell.select(*key, *details).unionAll(by_area.select(*key, *details)), key)
+
+    pairs = req.join(per_key, key)
     if exclude_self:
         pairs = pairs.filter(F.col("listing_id") != F.col("_rid"))
-    w2 = Window.partitionBy("_rid").orderBy("listing_id")
+    w2 = Window.partitionBy("_rid", *key).orderBy("listing_id", "area_m2", PRICE)
     ranked = pairs.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("_rid").alias(id_col), "rank", "listing_id", "area_m2", PRICE,
-                         "bedroom_num", "floor_num", "category")
+    return ranked.select(F.col("_rid").alias(id_col), "rank", *details)

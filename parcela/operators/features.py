@@ -49,7 +49,12 @@ def encoders(categorical: list[str] = CATEGORICAL_FEATURES, suffix: str = "_idx"
 def feature_stages(numeric: list[str] = NUMERIC_FEATURES, flags: list[str] = FLAG_COLUMNS,
                    categorical: list[str] = CATEGORICAL_FEATURES,
                    handle_invalid: str = "skip", scale: bool = True):
-    """K1-K4 stages: indexers, encoders, assembler (flags, numerics, one-hots), scaler."""
+    """K1-K4 stages: indexers, encoders, assembler (flags, numerics, one-hots), scaler.
+
+    Labels are counted over all rows.  A row with a null or NaN number cannot be
+    assembled and is left out from there on; ``scorable`` tells such rows, so that
+    predictions keep them and reports count them.
+    """
     stages = indexers(categorical) + encoders(categorical)
     stages.append(VectorAssembler(inputCols=flags + numeric + [c + "_vec" for c in categorical],
                                   outputCol="features", handleInvalid=handle_invalid))
@@ -59,6 +64,14 @@ def feature_stages(numeric: list[str] = NUMERIC_FEATURES, flags: list[str] = FLA
     return stages
 
 
+def scorable(numeric: list[str] = NUMERIC_FEATURES) -> Column:
+    """True for rows whose numbers are all present: only these can be assembled."""
+    out = F.lit(True)
+    for c in numeric:
+        out = out & F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`").cast("double"))
+    return out
+
+
 def feature_pipeline(**kw) -> Pipeline:
     """K5: the feature stages as one Pipeline (fit on train only)."""
     return Pipeline(stages=feature_stages(**kw))

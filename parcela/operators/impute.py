@@ -1,10 +1,10 @@
 """Missing-value handling and target preparation.
 
 Sentinels (-1) become a 0/1 flag plus the column's median over the
-non-sentinel rows.  All medians are computed in one aggregate pass and fed
-back as scalar subqueries (Spark merges them into one job), instead of one
-driver round trip per column.  Exact medians by default; ``approximate``
-switches to ``percentile_approx`` for columns with unbounded distinct values.
+non-sentinel rows.  All medians come from one grouped count of (column,
+value) and are fed back as one scalar subquery, instead of one driver round
+trip per column.  Exact medians by default; ``approximate`` switches to
+``percentile_approx`` with a documented accuracy.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcela.operators.joins import scalar_row
+from parcela.operators.quantiles import exact_quantiles
 from parcela.schema import IMPUTE_COLUMNS, PRICE, PRICE_TRIM_HIGH, PRICE_TRIM_LOW, UNKNOWN_NUMBER
 
 
@@ -22,23 +23,25 @@ def trim_prices(df: DataFrame, low: float = PRICE_TRIM_LOW,
     return df.filter(F.col(PRICE).between(low, high))
 
 
-def _median(c: Column, approximate: bool, accuracy: int) -> Column:
-    if approximate:
-        return F.percentile_approx(c, F.lit(0.5), F.lit(accuracy)).cast("double")
-    return F.median(c)
-
-
 def sentinel_medians(df: DataFrame, columns: list[str] = IMPUTE_COLUMNS,
-                     approximate: bool = False, accuracy: int = 10000) -> DataFrame:
+                     approximate: bool = False, accuracy: int = 10_000) -> DataFrame:
     """One row; per column the median over non-sentinel rows,
-    the sentinel count and the null count."""
-    aggs = []
-    for c in columns:
-        v = F.col(c).cast("double")
-        aggs += [_median(F.when(v != UNKNOWN_NUMBER, v), approximate, accuracy).alias(f"{c}__median"),
-                 F.count_if(v == UNKNOWN_NUMBER).alias(f"{c}__sentinels"),
-                 F.count_if(v.isNull()).alias(f"{c}__nulls")]
-    return df.agg(*aggs)
+    the sentinel count and the null count.
+
+    ``approximate`` takes ``percentile_approx``, whose rank is off by at most one
+    part in ``accuracy`` of the rows.
+    """
+    number = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    counts = [a for c, v in number.items() for a in (F.count_if(v == UNKNOWN_NUMBER).alias(f"{c}__sentinels"),
+                                                     F.count_if(v.isNull()).alias(f"{c}__nulls"))]
+    known = {c: F.when(v != UNKNOWN_NUMBER, v) for c, v in number.items()}
+    if approximate:
+        return df.agg(*counts, *[F.percentile_approx(v, F.lit(0.5), F.lit(accuracy)).cast("double").alias(f"{c}__median")
+                                 for c, v in known.items()])
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), v.alias("v")) for c, v in known.items()])
+    medians = (exact_quantiles(df.select(F.inline(pairs)), F.col("v"), [0.5], ["c"])
+               .agg(*[F.max(F.when(F.col("c") == c, F.col("q"))).alias(f"{c}__median") for c in columns]))
+    return df.agg(*counts).withColumns(scalar_row(medians))
 
 
 def flag_and_fill(df: DataFrame, columns: list[str] = IMPUTE_COLUMNS,
@@ -67,20 +70,42 @@ def flag_and_fill(df: DataFrame, columns: list[str] = IMPUTE_COLUMNS,
     return df.select(*out, *flags)
 
 
-def fill_with_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    """K8: -1 -> exact median of the non-sentinel rows, no flag (page preprocessing)."""
-    stats = scalar_row(sentinel_medians(df, columns))
+def fill_with_median(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
+    """K8: -1 -> median of the non-sentinel rows, no flag (page preprocessing)."""
+    stats = scalar_row(sentinel_medians(df, columns, approximate))
     out = []
     for name in df.columns:
         if name in columns:
-            v = F.col(name).cast("double")
+            v = F.col(f"`{name}`").cast("double")
             m = stats[f"{name}__median"]
             out.append(F.when(v == UNKNOWN_NUMBER, m).otherwise(v).alias(name))
         else:
-            out.append(F.col(name))
+            out.append(F.col(f"`{name}`"))
     return df.select(*out)
 
 
+#: Short names that page tables carry beside the full ones.
+SHORT_NAMES = {"area (m2)": "area_m2", "street (m)": "street_width_m"}
+PAGE_COLUMNS = ["area (m2)", *IMPUTE_COLUMNS, "street (m)"]
+
+
+def with_short_names(df: DataFrame) -> DataFrame:
+    """A short-named copy of area and street.  A table with the short name alone is left
+    as it is; ``ValueError`` if it has neither."""
+    for full, short in SHORT_NAMES.items():
+        if full in df.columns:
+            df = df.withColumn(short, F.col(f"`{full}`"))
+        elif short not in df.columns:
+            raise ValueError(f"no column {full!r} or {short!r}")
+    return df
+
+
+def page_table(clean: DataFrame) -> DataFrame:
+    """C5 + K8: short-named copies, then all six numbers without sentinels."""
+    named = with_short_names(clean)
+    return fill_with_median(named, [c for c in PAGE_COLUMNS if c in named.columns])
+
+
 def log_target(df: DataFrame) -> DataFrame:
     """K9: ``price_log = log1p(price_per_m2)``; price read back as double."""
     return df.withColumns({PRICE: F.col(PRICE).cast("double"),

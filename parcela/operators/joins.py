@@ -1,45 +1,10 @@
-"""Join and ranking helpers shared by the operators.
-
-* ``broadcast_if_small`` broadcasts a side only after counting at most
-  ``max_rows + 1`` of its rows; above the bound the plain join is kept and
-  the planner / AQE choose a shuffle join (with skew splitting).
-* ``top_k_per_group`` keeps the first k rows of each group by an explicit
-  order.  It ranks in two stages: first inside ``(group, salt)`` sub-groups,
-  then among the at most ``k * salts`` survivors, so a group holding a third
-  of all rows is spread over ``salts`` tasks instead of one.
-"""
+"""Scalar values read from one-row frames."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 32
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast for ``df`` only if it has at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                    k: int, salt_key: str | Column | None = None,
-                    salts: int = DEFAULT_SALTS, rank_col: str = "rank") -> DataFrame:
-    """First ``k`` rows per ``group`` under ``order`` (which must be total), ranked 1..k."""
-    g = list(group)
-    if salt_key is not None and salts > 1:
-        key = F.col(salt_key) if isinstance(salt_key, str) else salt_key
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-        w1 = Window.partitionBy(*g, "_salt").orderBy(*order)
-        df = (salted.withColumn("_r1", F.row_number().over(w1))
-                    .filter(F.col("_r1") <= k).drop("_r1", "_salt"))
-    w = Window.partitionBy(*g).orderBy(*order)
-    return (df.withColumn(rank_col, F.row_number().over(w))
-              .filter(F.col(rank_col) <= k))
-
 
 def scalar_row(one_row: DataFrame) -> dict[str, Column]:
     """The columns of a one-row aggregate as scalar-subquery values.

@@ -2,9 +2,8 @@
 
 All statistics are single aggregates with partial (map-side) combining, so
 a city or district holding a third of the rows is reduced per partition
-before any shuffle.  Quantiles are exact (``percentile``); its buffer is
-one count per distinct value, which for prices written as text (rounded to
-0.1 million) stays small.  Top-k reports end in TakeOrderedAndProject.
+before any shuffle.  Quantiles are exact and distributed
+(``quantiles``), with ``approximate`` as a parameter.  Top-k reports end in TakeOrderedAndProject.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcela.operators.joins import scalar_row
+from parcela.operators.quantiles import quantile_row
 from parcela.schema import AREA, PRICE
 
 
@@ -34,19 +34,17 @@ def top_cities_by_price(clean: DataFrame, n: int = 10) -> DataFrame:
     return avg_price_by_city(clean).limit(n)
 
 
-def price_overview(clean: DataFrame) -> DataFrame:
+def price_overview(clean: DataFrame, approximate: bool = False) -> DataFrame:
     """A1 + A2: mean, max, min and exact (interpolating) median price per m2."""
     x = _price()
+    median = scalar_row(quantile_row(clean, x, {"m": 0.5}, approximate))["m"]
     return clean.agg(F.avg(x).alias("avg_price"), F.max(x).alias("max_price"),
-                     F.min(x).alias("min_price"), F.median(x).alias("median_price"),
-                     F.count(x).alias("listings"))
+                     F.min(x).alias("min_price"), F.count(x).alias("listings")).withColumn("median_price", median)
 
 
-def price_quartiles(clean: DataFrame) -> DataFrame:
+def price_quartiles(clean: DataFrame, approximate: bool = False) -> DataFrame:
     """A3: exact 25 % and 75 % quantiles (the default price-range bounds)."""
-    x = _price()
-    return clean.agg(F.percentile(x, F.lit(0.25)).alias("q25"),
-                     F.percentile(x, F.lit(0.75)).alias("q75"))
+    return quantile_row(clean, _price(), {"q25": 0.25, "q75": 0.75}, approximate)
 
 
 def _range_bounds(clean: DataFrame, low: float | None, high: float | None):

@@ -4,8 +4,8 @@ Counts and null counts are one aggregate each (partial + final, no
 per-column jobs).  The before / during / after cleaning report is computed
 in a single pass over the raw rows: the clean expressions are evaluated
 alongside the raw columns and every stage is a conditional count.
-Quantile statistics use exact ``percentile``; the box-plot fences that
-depend on them are fed back as scalar subqueries (no join, no collect).
+Quantile statistics are exact and distributed (``quantiles``); the box-plot
+fences that depend on them are fed back as scalar subqueries (no join, no collect).
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcela.operators.clean import CLEAN_NAMES, clean_columns
+from parcela.operators.clean import CLEAN_NAMES, normalized_columns, parsed_columns
 from parcela.operators.joins import scalar_row
+from parcela.operators.quantiles import exact_quantiles, quantile_row
 from parcela.schema import PRICE, PRICE_TRIM_HIGH, PRICE_TRIM_LOW
 
 RAW_NAMES = ["title", "link", "price", "area", "category", "direction", "liability",
@@ -23,30 +24,24 @@ RAW_NAMES = ["title", "link", "price", "area", "category", "direction", "liabili
 DROPPED_NAMES = [c for c in RAW_NAMES if c not in ("title", "link")]
 
 
-def row_count(df: DataFrame) -> DataFrame:
-    """P1 as a one-row frame."""
-    return df.agg(F.count(F.lit(1)).alias("rows"))
-
-
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row, one null count per column (named after the column)."""
     cols = columns or df.columns
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
 
 
-def schema_of(df: DataFrame) -> list[tuple[str, str]]:
-    """(column, type) pairs, the content of ``printSchema``."""
-    return list(df.dtypes)
+def table_overview(df: DataFrame) -> DataFrame:
+    """P3 + P1 + P8: (position, column_name, type, rows, nulls, is_empty), a row a column."""
+    nulls = {f"_{i}": F.count_if(F.col(f"`{c}`").isNull()) for i, c in enumerate(df.columns)}
+    wide = df.agg(F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in nulls.items()])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(name).alias("column_name"), F.lit(kind).alias("type"), F.col("rows"),
+                 F.col(f"_{i}").alias("nulls"), (F.col("rows") == 0).alias("is_empty")) for i, (name, kind) in enumerate(df.dtypes)])))
 
 
-def preview(df: DataFrame, n: int = 20, order: list[str] | None = None) -> DataFrame:
+def preview(df: DataFrame, order: list[str], n: int = 20) -> DataFrame:
     """First ``n`` rows under an explicit order (Spark has no file order)."""
-    return (df.orderBy(*order) if order else df).limit(n)
-
-
-def is_empty(df: DataFrame) -> bool:
-    """Reads at most one row."""
-    return df.isEmpty()
+    return df.orderBy(*order).limit(n)
 
 
 def _long(stage_aggs: list[tuple[str, str, Column, Column]]) -> Column:
@@ -62,8 +57,9 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
     One scan and one aggregate for all three stages.
     """
     kept = F.col("price").isNotNull() & F.col("area").isNotNull()
-    staged = raw.select(*RAW_NAMES, kept.alias("_kept"),
-                        *[e.alias(f"_c_{n}") for e, n in zip(clean_columns(), CLEAN_NAMES)])
+    # The cleaning job's own two steps, beside the raw columns.
+    texts = raw.select(F.struct(*RAW_NAMES).alias("_raw"), kept.alias("_kept"), *normalized_columns())
+    staged = texts.select("_raw.*", "_kept", *[e.alias(f"_c_{n}") for e, n in zip(parsed_columns(), CLEAN_NAMES)])
     staged = staged.withColumn("_clean", F.col("_kept") & F.col(f"_c_{PRICE}").isNotNull())
     aggs = [F.count(F.lit(1)).alias("raw_rows"),
             F.count_if(F.col("_kept")).alias("drop_rows"),
@@ -79,53 +75,33 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
     return wide.select(_long(entries))
 
 
-def _q(c: Column, p: float) -> Column:
-    return F.percentile(c, F.lit(p))
-
-
-def price_summary(df: DataFrame, col: str = PRICE) -> DataFrame:
-    """P5: typed twin of ``summary()`` with exact quartiles (one pass)."""
+def price_summary(df: DataFrame, col: str = PRICE, approximate: bool = False) -> DataFrame:
+    """P5: typed twin of ``summary()`` with exact quartiles."""
     x = F.col(col).cast("double")
+    q = scalar_row(quantile_row(df, x, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, approximate))
     return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
                   F.stddev_samp(x).alias("stddev"), F.min(x).alias("min"),
-                  _q(x, 0.25).alias("p25"), _q(x, 0.5).alias("p50"),
-                  _q(x, 0.75).alias("p75"), F.max(x).alias("max"))
+                  F.max(x).alias("max")).withColumns(q)
 
 
 def price_boxplot(df: DataFrame, col: str = PRICE, low: float = PRICE_TRIM_LOW,
                   high: float = PRICE_TRIM_HIGH) -> DataFrame:
     """Box-plot statistics of the price before and after the trim.
 
-    Pass 1 (scalar subquery): quartiles of both stages.  Pass 2: whiskers
-    (most extreme value inside 1.5 IQR of the quartiles) and outlier counts.
+    Prices are counted once by stage and value; the quartiles come from these
+    counts, and so do whiskers (most extreme value inside 1.5 IQR of the
+    quartiles) and outlier counts.
     """
     x = F.col(col).cast("double")
-    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    vals = vals.withColumn("in_trim", F.col("x").between(low, high))
-    after = F.when(F.col("in_trim"), F.col("x"))
-    quart = vals.agg(_q(F.col("x"), 0.25).alias("q1b"), _q(F.col("x"), 0.75).alias("q3b"),
-                     _q(after, 0.25).alias("q1a"), _q(after, 0.75).alias("q3a"))
-    q = scalar_row(quart)
-    q1b, q3b, q1a, q3a = q["q1b"], q["q3b"], q["q1a"], q["q3a"]
-
-    def stage(name: str, v: Column, q1: Column, q3: Column) -> list[Column]:
-        lo, hi = q1 - F.lit(1.5) * (q3 - q1), q3 + F.lit(1.5) * (q3 - q1)
-        inside = v.between(lo, hi)
-        return [F.count(v).alias(f"{name}_n"),
-                _q(v, 0.25).alias(f"{name}_q1"), _q(v, 0.5).alias(f"{name}_median"),
-                _q(v, 0.75).alias(f"{name}_q3"),
-                F.min(F.when(inside, v)).alias(f"{name}_wlo"),
-                F.max(F.when(inside, v)).alias(f"{name}_whi"),
-                F.count_if(v.isNotNull() & ~inside).alias(f"{name}_out")]
-
-    wide = vals.agg(*stage("before_trim", F.col("x"), q1b, q3b),
-                    *stage("after_trim", after, q1a, q3a))
-    rows = []
-    for s in ("before_trim", "after_trim"):
-        rows.append(F.struct(
-            F.lit(s).alias("stage"), F.col(f"{s}_n").alias("n"),
-            F.col(f"{s}_q1").alias("q1"), F.col(f"{s}_median").alias("median"),
-            F.col(f"{s}_q3").alias("q3"), (F.col(f"{s}_q3") - F.col(f"{s}_q1")).alias("iqr"),
-            F.col(f"{s}_wlo").alias("whisker_low"), F.col(f"{s}_whi").alias("whisker_high"),
-            F.col(f"{s}_out").alias("outliers")))
-    return wide.select(F.inline(F.array(*rows)))
+    stages = F.when(x.between(low, high), F.array(F.lit("before_trim"), F.lit("after_trim"))).otherwise(F.array(F.lit("before_trim")))
+    vals = df.where(x.isNotNull()).select(F.explode(stages).alias("stage"), x.alias("x"))
+    quart = (exact_quantiles(vals, F.col("x"), [0.25, 0.5, 0.75], ["stage"]).groupBy("stage")
+             .agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+             .withColumn("iqr", F.col("q3") - F.col("q1")))
+    counted = vals.groupBy("stage", "x").agg(F.count(F.lit(1)).alias("n"))
+    fenced = counted.join(quart, "stage").withColumn(
+        "inside", F.col("x").between(F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")))
+    return fenced.groupBy("stage", "q1", "median", "q3", "iqr").agg(
+        F.sum("n").alias("n"), F.min(F.when(F.col("inside"), F.col("x"))).alias("whisker_low"),
+        F.max(F.when(F.col("inside"), F.col("x"))).alias("whisker_high"),
+        F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("outliers"))

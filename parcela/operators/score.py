@@ -18,29 +18,53 @@ from parcela.operators.models import PriceModel, predict
 from parcela.schema import AREA, CATEGORICAL_FEATURES, IMPUTE_COLUMNS, STREET, UNKNOWN_NUMBER
 
 BLANK_TEXT = ("nan", "None", "NaN")
+#: Names a request may use instead.
+ALIASES = {AREA: "area", STREET: "street"}
 
 
-def _number(c: Column, dtype: str, default: float | int, is_text: bool) -> Column:
-    if is_text:
-        c = F.nullif(F.trim(c), F.lit("")).try_cast("double")
-    return F.coalesce(c.cast("double"), F.lit(float(default))).cast(dtype)
+def _number(c: Column, is_text: bool) -> Column:
+    """A number; blank or unreadable text is null."""
+    return F.nullif(F.trim(c), F.lit("")).try_cast("double") if is_text else c.cast("double")
+
+
+def with_alias(requests: DataFrame, name: str) -> DataFrame:
+    """Column ``name`` copied from its short alias where only that is present.
+
+    Raises ``ValueError`` if the table has neither.
+    """
+    if name in requests.columns:
+        return requests
+    if ALIASES[name] not in requests.columns:
+        raise ValueError(f"no column {name!r} or {ALIASES[name]!r}")
+    return requests.withColumn(name, F.col(ALIASES[name]))
 
 
 def normalize_requests(requests: DataFrame) -> DataFrame:
     """C7 + C8: add missing columns and normalise values.
 
-    Counts: blank / unreadable -> -1; area and street: blank -> 0;
-    text: missing or 'nan' / 'None' / 'NaN' -> ''.
+    Counts: blank, unreadable or missing column -> -1.  Area and street: blank
+    -> 0, unreadable or null -> null (such a row gets no prediction), a missing
+    column -> -1 (after the short alias was tried).  Text: missing or 'nan' /
+    'None' / 'NaN' -> ''.
     """
+    for c in (AREA, STREET):
+        if c not in requests.columns and ALIASES[c] in requests.columns:
+            requests = with_alias(requests, c)
     types = dict(requests.dtypes)
-    out = [F.col(c) for c in requests.columns
+    out = [F.col(f"`{c}`") for c in requests.columns
            if c not in IMPUTE_COLUMNS + [AREA, STREET] + CATEGORICAL_FEATURES]
     for c in IMPUTE_COLUMNS:
         src = F.col(c) if c in types else F.lit(None).cast("string")
-        out.append(_number(src, "int", UNKNOWN_NUMBER, types.get(c, "string") == "string").alias(c))
+        value = _number(src, types.get(c, "string") == "string")
+        out.append(F.coalesce(value, F.lit(float(UNKNOWN_NUMBER))).alias(c))
     for c in (AREA, STREET):
-        src = F.col(c) if c in types else F.lit(None).cast("string")
-        out.append(_number(src, "double", 0, types.get(c, "string") == "string").alias(c))
+        if c in types:
+            value = _number(F.col(f"`{c}`"), types[c] == "string")
+            if types[c] == "string":
+                value = F.when(F.trim(f"`{c}`") == "", F.lit(0.0)).otherwise(value)
+            out.append(value.alias(c))
+        else:
+            out.append(F.lit(float(UNKNOWN_NUMBER)).alias(c))
     for c in CATEGORICAL_FEATURES:
         src = F.col(c).cast(StringType()) if c in types else F.lit(None).cast("string")
         out.append(F.when(src.isNull() | src.isin(*BLANK_TEXT), F.lit("")).otherwise(src).alias(c))
@@ -57,7 +81,7 @@ def flag_with_stored_medians(df: DataFrame, medians: dict[str, float]) -> DataFr
             v = F.col(name).cast("double")
             cols.append(F.when(v == UNKNOWN_NUMBER, F.lit(medians[name])).otherwise(v).alias(name))
         else:
-            cols.append(F.col(name))
+            cols.append(F.col(f"`{name}`"))
     flags = [F.when(F.col(c) == UNKNOWN_NUMBER, 1).otherwise(0).alias(f"{c}_missing_flag")
              for c in IMPUTE_COLUMNS]
     return df.select(*cols, *flags)

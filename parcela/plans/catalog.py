@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.functions.text import price_text, total_price
+from parcela.functions.text import billions, one_decimal, price_text, total_price
 from parcela.operators import estimate, evaluate, features, impute, market, models, profile, score
-from parcela.schema import AREA, CATEGORICAL_FEATURES, PRICE
 from parcela.operators.clean import clean
-from parcela.session import cut_lineage, persist
+from parcela.operators.joins import scalar_row
+from parcela.schema import AREA, CATEGORICAL_FEATURES, IMPUTE_COLUMNS, PRICE, STREET
+from parcela.session import ensure_checkpoint_dir, held
+from parcela.sources import io
 from parcela.sources.fixtures import raw_listings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,16 +31,18 @@ def register(name: str):
     return deco
 
 
-def clean_listings_of(spark: SparkSession, sf_dir: str, reused: bool = False) -> DataFrame:
+def clean_listings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean listings derived from the driver tables.
 
-    ``reused``: the query reads the table more than once (a scalar subquery
-    plus the main pass, a self-join, medians then rows), so it is written
-    once to the shared checkpoint folder instead of re-deriving the joins
-    and re-parsing every row for each read.
+    Nothing is written or cached: a query that needs the table twice (quantiles,
+    then rows) reads it twice, and Spark reuses equal exchanges.
     """
-    df = clean(raw_listings(spark, sf_dir))
-    return cut_lineage(df) if reused else df
+    return clean(raw_listings(spark, sf_dir))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """One folder a query and application in the shared checkpoint folder; written over each time."""
+    return f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
 
 
 @register("raw_listings")
@@ -77,7 +81,7 @@ def q_price_summary(spark, sf_dir):
 
 @register("price_boxplot")
 def q_price_boxplot(spark, sf_dir):
-    b = profile.price_boxplot(clean_listings_of(spark, sf_dir, reused=True))
+    b = profile.price_boxplot(clean_listings_of(spark, sf_dir))
     return b.select("stage", "n", "outliers", *[F.round(c, 4).alias(c) for c in
                     ("q1", "median", "q3", "iqr", "whisker_low", "whisker_high")])
 
@@ -100,7 +104,7 @@ def q_price_quartiles(spark, sf_dir):
 
 @register("price_range_share")
 def q_price_range_share(spark, sf_dir):
-    s = market.price_range_share(clean_listings_of(spark, sf_dir, reused=True))
+    s = market.price_range_share(clean_listings_of(spark, sf_dir))
     return s.select("in_range", "total", "pct",
                     *[F.round(c, 4).alias(c) for c in
                       ("range_low", "range_high", "avg_price", "avg_area")])
@@ -108,7 +112,7 @@ def q_price_range_share(spark, sf_dir):
 
 @register("price_range_listings")
 def q_price_range_listings(spark, sf_dir):
-    return market.price_range_listings(clean_listings_of(spark, sf_dir, reused=True))
+    return market.price_range_listings(clean_listings_of(spark, sf_dir))
 
 
 @register("distinct_places")
@@ -146,8 +150,7 @@ def q_sorted_options(spark, sf_dir):
 # --- imputation and features ------------------------------------------------
 
 def model_table_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # medians (one pass) then the rows (second pass) read the clean table
-    return impute.model_table(clean_listings_of(spark, sf_dir, reused=True))
+    return impute.model_table(clean_listings_of(spark, sf_dir))
 
 
 @register("impute_medians")
@@ -182,13 +185,8 @@ def q_train_test_split(spark, sf_dir):
              .groupBy("split").agg(F.count(F.lit(1)).alias("rows")))
 
 
-def _model_cut(spark, sf_dir):
-    """Model table written to the checkpoint folder once; the fits read it back."""
-    return cut_lineage(model_table_of(spark, sf_dir))
-
-
-def _split(spark, sf_dir, model=None):
-    return features.train_test_split(model if model is not None else _model_cut(spark, sf_dir))
+def _split(spark, sf_dir):
+    return features.train_test_split(model_table_of(spark, sf_dir))
 
 
 def _labels_long(df: DataFrame, value_suffix: str) -> DataFrame:
@@ -200,8 +198,8 @@ def _labels_long(df: DataFrame, value_suffix: str) -> DataFrame:
 @register("label_index")
 def q_label_index(spark, sf_dir):
     from pyspark.ml import Pipeline
-    model = _model_cut(spark, sf_dir)
-    train, _ = _split(spark, sf_dir, model)
+    model = model_table_of(spark, sf_dir)
+    train, _ = features.train_test_split(model)
     fitted = Pipeline(stages=features.indexers()).fit(train)
     out = _labels_long(fitted.transform(model), "_idx")
     return (out.groupBy("column_name", "label", F.col("value").alias("label_index"))
@@ -212,8 +210,8 @@ def q_label_index(spark, sf_dir):
 def q_one_hot(spark, sf_dir):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
-    model = _model_cut(spark, sf_dir)
-    train, _ = _split(spark, sf_dir, model)
+    model = model_table_of(spark, sf_dir)
+    train, _ = features.train_test_split(model)
     fitted = Pipeline(stages=features.indexers() + features.encoders()).fit(train)
     t = fitted.transform(model)
     t = t.select(*CATEGORICAL_FEATURES, *[F.struct(
@@ -230,14 +228,26 @@ def q_one_hot(spark, sf_dir):
 
 @register("standardize")
 def q_standardize(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
     train, _ = _split(spark, sf_dir)
-    fitted = features.feature_pipeline().fit(train)
-    scaler = fitted.stages[-1]
-    rows = [(i, float(m), float(s)) for i, (m, s) in
-            enumerate(zip(scaler.mean.toArray(), scaler.std.toArray()))]
-    stats = spark.createDataFrame(rows, "feature_index int, mean double, std double")
-    return stats.select("feature_index", F.round("mean", 6).alias("mean"),
-                        F.round("std", 6).alias("std"))
+    with held(train) as rows:
+        scaler = features.feature_pipeline().fit(rows).stages[-1]
+    # The model is two vectors; they are laid out in rows on the executors.
+    model = spark.createDataFrame([(scaler.mean, scaler.std)], ["mean", "std"])
+    slots = model.select(F.posexplode(F.arrays_zip(vector_to_array("mean").alias("mean"), vector_to_array("std").alias("std"))))
+    return slots.select(F.col("pos").alias("feature_index"), F.round("col.mean", 6).alias("mean"), F.round("col.std", 6).alias("std"))
+
+
+@register("impute_medians_approx")
+def q_impute_medians_approx(spark, sf_dir):
+    stats = impute.sentinel_medians(clean_listings_of(spark, sf_dir), approximate=True)
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__median").alias("median")) for c in impute.IMPUTE_COLUMNS]
+    return stats.select(F.inline(F.array(*rows)))
+
+
+@register("page_table")
+def q_page_table(spark, sf_dir):
+    return impute.page_table(clean_listings_of(spark, sf_dir))
 
 
 # --- estimates ---------------------------------------------------------------
@@ -248,14 +258,27 @@ def _requests_from(clean_df: DataFrame) -> DataFrame:
 
 @register("statistical_estimate")
 def q_statistical_estimate(spark, sf_dir):
-    c = clean_listings_of(spark, sf_dir, reused=True)
+    c = clean_listings_of(spark, sf_dir)
     e = estimate.statistical_estimate(_requests_from(c), c)
     return e.select("request_id", "mean_source", "mean_price", "price_per_m2_est", "total_est")
 
 
+@register("statistical_estimate_requests")
+def q_statistical_estimate_requests(spark, sf_dir):
+    """K17 and F7 with empty, blank and unseen fields, spread over the listings by id."""
+    c = clean_listings_of(spark, sf_dir)
+    i = F.col("request_id")
+    r = _requests_from(c).withColumns({
+        "category": F.when(i % 5 == 0, "").when(i % 7 == 1, "  ").when(i % 7 == 2, "no such kind").otherwise(F.col("category")),
+        "district": F.when(i % 3 == 0, F.lit(None).cast("string")).when(i % 11 == 1, "no such place").when(i % 11 == 2, " ")
+                     .otherwise(F.col("district"))})
+    e = estimate.statistical_estimate(r, c)
+    return e.select("request_id", "mean_source", "mean_price", "price_per_m2_est", "total_est")
+
+
 @register("comparables_top5")
 def q_comparables_top5(spark, sf_dir):
-    c = clean_listings_of(spark, sf_dir, reused=True)
+    c = clean_listings_of(spark, sf_dir)
     return estimate.comparables(_requests_from(c), c, k=5, exclude_self=True)
 
 
@@ -267,69 +290,170 @@ def q_price_text(spark, sf_dir):
                     total.alias("total_price"), price_text(total).alias("total_text"))
 
 
+@register("display_text")
+def q_display_text(spark, sf_dir):
+    c = clean_listings_of(spark, sf_dir).filter(F.col(AREA).isNotNull())
+    total = total_price(F.col(PRICE), F.col(AREA))
+    return c.select("listing_id", one_decimal(F.col(AREA)).alias("area_text"), billions(total).alias("total_billions"))
+
+
+# --- sources, sinks and inspection ------------------------------------------------
+
+@register("table_overview")
+def q_table_overview(spark, sf_dir):
+    return profile.table_overview(clean_listings_of(spark, sf_dir))
+
+
+@register("preview")
+def q_preview(spark, sf_dir):
+    return profile.preview(clean_listings_of(spark, sf_dir), ["listing_id", PRICE, AREA])
+
+
+@register("csv_round_trip")
+def q_csv_round_trip(spark, sf_dir):
+    """S4, S1, the cleaning job, S4 and S2: raw and clean listings through CSV files."""
+    raw, cleaned = shared_folder(spark, "raw_csv"), shared_folder(spark, "clean_csv")
+    io.write_csv(raw_listings(spark, sf_dir), raw)
+    io.write_csv(clean(io.read_raw_csv(spark, raw)), cleaned)
+    return io.read_clean_csv(spark, cleaned)
+
+
+@register("district_report_city")
+def q_district_report_city(spark, sf_dir):
+    d = market.avg_price_by_district(clean_listings_of(spark, sf_dir), city="NATION_7")
+    return d.select("city_province", "district", "listings", F.round("avg_price_per_m2", 4).alias("avg_price_per_m2"))
+
+
 # --- models --------------------------------------------------------------------
 
+def _fit_on(train: DataFrame, inputs: list[str], regressors: dict) -> dict:
+    """Regressors fitted on a few plain inputs (no encoding or scaling), as pipelines."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+    assembler = VectorAssembler(inputCols=inputs, outputCol=models.FEATURES)
+    with held(assembler.transform(train.where(features.scorable(inputs))).select(models.FEATURES, models.LABEL)) as ready:
+        return {name: PipelineModel([assembler, r.fit(ready)]) for name, r in regressors.items()}
+
+
+def _coefficients(spark, fitted) -> DataFrame:
+    lr = fitted.stages[-1]
+    return spark.createDataFrame([(lr.coefficients, float(lr.intercept))], ["w", "intercept"])
+
+
 @register("linear_regression")
 def q_linear_regression(spark, sf_dir):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.functions import vector_to_array
     train, _ = _split(spark, sf_dir)
-    data = VectorAssembler(inputCols=[AREA], outputCol="f", handleInvalid="skip").transform(train)
-    lr = LinearRegression(featuresCol="f", labelCol="price_log", solver="normal").fit(data)
-    row = [(float(lr.coefficients[0]), float(lr.intercept))]
-    return spark.createDataFrame(row, "slope double, intercept double").select(
-        F.round("slope", 8).alias("slope"), F.round("intercept", 8).alias("intercept"))
+    fitted = _fit_on(train, [AREA], {"lr": models.linear_regression(solver="normal")})["lr"]
+    return _coefficients(spark, fitted).select(F.round(vector_to_array("w")[0], 8).alias("slope"),
+                                               F.round("intercept", 8).alias("intercept"))
 
 
-def _metrics_rounded(m: DataFrame) -> DataFrame:
-    return m.select("n", F.round("rmse", 2).alias("rmse"), F.round("mse", -4).alias("mse"),
-                    F.round("mae", 2).alias("mae"), F.round("r2", 8).alias("r2"))
+@register("linear_regression_two")
+def q_linear_regression_two(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    train, _ = _split(spark, sf_dir)
+    fitted = _fit_on(train, [AREA, STREET], {"lr": models.linear_regression(solver="normal")})["lr"]
+    w = vector_to_array("w")
+    return _coefficients(spark, fitted).select(F.round(w[0], 8).alias("slope_area"), F.round(w[1], 8).alias("slope_street"),
+                                               F.round("intercept", 8).alias("intercept"))
 
 
-@register("regression_metrics")
-def q_regression_metrics(spark, sf_dir):
+def _count_trees() -> dict:
+    """Small trees over the four counts, whose splits are exact: few distinct values."""
+    return {"tree_1": models.decision_tree(maxDepth=1), "tree_2": models.decision_tree(maxDepth=2),
+            "forest": models.random_forest(num_trees=1, max_depth=2, bootstrap=False, featureSubsetStrategy="all"),
+            "boosted": models.gbt(max_iter=2, max_depth=1)}
+
+
+def _count_tree_predictions(spark, sf_dir) -> DataFrame:
     train, test = _split(spark, sf_dir)
-    est = estimate.statistical_estimate(_requests_from(test), train)
-    pred = (est.select("request_id", F.col("mean_price").alias("predicted_price"))
-               .join(_requests_from(test).select("request_id", F.col(PRICE).alias("actual_price")),
-                     "request_id"))
-    return _metrics_rounded(evaluate.regression_metrics(pred))
+    return models.predict_all(_fit_on(train, IMPUTE_COLUMNS, _count_trees()), test, IMPUTE_COLUMNS)
 
 
-# Tree sizes for the registered (checked) queries; library defaults equal the
-# source job's (GBT 200 rounds depth 6, RF 200 trees depth 8).
-QUERY_GBT_ITER = 20
-QUERY_RF_TREES = 20
+@register("count_trees")
+def q_count_trees(spark, sf_dir):
+    """K11-K13 on the four counts: predictions of each kind of test row."""
+    p = _count_tree_predictions(spark, sf_dir)
+    names = [f"prediction_{n}" for n in _count_trees()]
+    return p.groupBy(*IMPUTE_COLUMNS).agg(F.count(F.lit(1)).alias("rows"), *[F.round(F.max(n), 8).alias(n) for n in names])
 
 
-def _fit_and_predict(spark, sf_dir, regressor):
+@register("count_tree_metrics")
+def q_count_tree_metrics(spark, sf_dir):
+    """K14 + K15 over the same models."""
+    m = evaluate.compare_models(_count_tree_predictions(spark, sf_dir), {n: f"prediction_{n}" for n in _count_trees()})
+    return m.select("model", "n_total", "n_scored", F.round("rmse", 2).alias("rmse"), F.round("mse", -4).alias("mse"),
+                    F.round("mae", 2).alias("mae"), F.round("r2", 8).alias("r2"))
+
+
+@register("saved_model")
+def q_saved_model(spark, sf_dir):
+    """S5 + S6: a model saved, read back and applied."""
+    c = clean_listings_of(spark, sf_dir)
+    train, test = features.train_test_split(impute.model_table(c))
+    fitted = _fit_on(train, IMPUTE_COLUMNS, {"tree": _count_trees()["tree_2"]})["tree"]
+    folder = shared_folder(spark, "saved_model")
+    models.PriceModel(fitted, models.training_medians(c)).save(folder)
+    loaded = models.PriceModel.load(folder)
+    p = models.predict_all({"tree": loaded.pipeline}, test, IMPUTE_COLUMNS)
+    medians = [F.lit(loaded.medians[m]).alias(f"median_{m}") for m in IMPUTE_COLUMNS]
+    return p.groupBy(*IMPUTE_COLUMNS).agg(F.count(F.lit(1)).alias("rows"), F.round(F.max("prediction_tree"), 8).alias("prediction")).select("*", *medians)
+
+
+def _metrics_rounded(m: DataFrame) -> DataFrame:
+    return m.select("n", F.round("rmse", 2).alias("rmse"), F.round("mse", -4).alias("mse"),
+                    F.round("mae", 2).alias("mae"), F.round("r2", 8).alias("r2"))
+
+
+@register("regression_metrics")
+def q_regression_metrics(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    train = persist(train)  # a filter over the written model table
-    fitted = models.fit_pipeline(train, regressor)
-    return models.PriceModel(fitted, models.training_medians(train)), test
+    requests = _requests_from(test).withColumn("actual_price", F.col(PRICE))
+    est = estimate.statistical_estimate(requests, train, carry=["actual_price"])
+    return _metrics_rounded(evaluate.regression_metrics(est.withColumnRenamed("mean_price", "predicted_price")))
 
 
 @register("model_comparison")
 def q_model_comparison(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    train = persist(train)  # a filter over the written model table
-    regs = {"linear_regression": models.linear_regression(),
-            "decision_tree": models.decision_tree(seed=42),
-            "random_forest": models.random_forest(num_trees=QUERY_RF_TREES),
-            "gbt": models.gbt(max_iter=QUERY_GBT_ITER)}
-    return evaluate.compare_models(models.fit_compare(train, test, regs))
+    fitted = models.fit_all(train, {"linear_regression": models.linear_regression(), "decision_tree": models.decision_tree(seed=42),
+                                    "random_forest": models.random_forest(), "gbt": models.gbt()})
+    return evaluate.compare_models(models.predict_all(fitted, test), {n: f"prediction_{n}" for n in fitted})
+
+
+def _odd_requests(clean_df: DataFrame) -> DataFrame:
+    """Requests as a form may send them: text numbers, blanks, unseen labels, short names, no living rooms."""
+    i = F.col("listing_id")
+    return clean_df.select(
+        i.alias("request_id"),
+        F.when(i % 6 == 0, "").when(i % 13 == 0, "wide").otherwise(F.col(f"`{AREA}`").cast("double").cast("string")).alias("area"),
+        F.when(i % 5 == 0, " ").when(i % 7 == 0, "abc").otherwise(F.col("bedroom_num").cast("string")).alias("bedroom_num"),
+        F.when(i % 4 != 0, F.col("floor_num")).alias("floor_num"), F.col("toilet_num").cast("double").alias("toilet_num"),
+        F.when(i % 9 == 0, "nan").when(i % 9 == 1, "None").otherwise(F.col("district")).alias("district"), "city_province",
+        F.when(i % 8 == 0, "no such kind").otherwise(F.col("category")).alias("category"), "liability")
+
+
+@register("scoring_input")
+def q_scoring_input(spark, sf_dir):
+    """C7, C8 and K7 at scoring time: flags, fills and normalised values of odd requests."""
+    c = clean_listings_of(spark, sf_dir)
+    stats = scalar_row(impute.sentinel_medians(c))
+    return score.flag_with_stored_medians(score.normalize_requests(_odd_requests(c)), {m: stats[f"{m}__median"] for m in IMPUTE_COLUMNS})
 
 
 def _score_query(spark, sf_dir, regressor):
-    model, test = _fit_and_predict(spark, sf_dir, regressor)
-    requests = _requests_from(test).drop(PRICE, "price_log", *[c for c in test.columns
-                                                                if c.endswith("_missing_flag")])
-    return score.score(model, requests)
+    """Fit on the training split, score the test split's clean rows as they were before any fill."""
+    c = clean_listings_of(spark, sf_dir)
+    train, _ = features.train_test_split(impute.model_table(c))
+    model = models.PriceModel(models.fit_pipeline(train, regressor), models.training_medians(c))
+    _, unfilled = features.train_test_split(impute.trim_prices(c))
+    return score.score(model, _requests_from(unfilled).drop(PRICE))
 
 
 @register("gbt_score")
 def q_gbt_score(spark, sf_dir):
-    return _score_query(spark, sf_dir, models.gbt(max_iter=QUERY_GBT_ITER))
+    return _score_query(spark, sf_dir, models.gbt())
 
 
 @register("decision_tree_score")
@@ -339,7 +463,7 @@ def q_decision_tree_score(spark, sf_dir):
 
 @register("random_forest_score")
 def q_random_forest_score(spark, sf_dir):
-    return _score_query(spark, sf_dir, models.random_forest(num_trees=QUERY_RF_TREES))
+    return _score_query(spark, sf_dir, models.random_forest())
 
 
 @register("linear_score")

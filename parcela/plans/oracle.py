@@ -336,8 +336,8 @@ def _estimate(requests: str, listings: str) -> str:
     return f"""
 , req AS (SELECT listing_id AS request_id, category, district, direction, bedroom_num,
                  CAST("area (m2)" AS DOUBLE) AS area,
-                 category IS NOT NULL AND trim(category) != '' AS cg,
-                 district IS NOT NULL AND trim(district) != '' AS dg
+                 category IS NOT NULL AND category != '' AS cg,
+                 district IS NOT NULL AND district != '' AS dg
           FROM {requests}),
 m_cd AS (SELECT category, district, avg(CAST(price_per_m2 AS DOUBLE)) AS a FROM {listings} GROUP BY ALL),
 m_c AS (SELECT category, avg(CAST(price_per_m2 AS DOUBLE)) AS a FROM {listings} GROUP BY ALL),
@@ -376,13 +376,14 @@ SQL["comparables_top5"] = with_clean("""
 , l AS (SELECT listing_id, city_province, district, CAST("area (m2)" AS DOUBLE) AS area_m2,
                CAST(price_per_m2 AS DOUBLE) AS price_per_m2, bedroom_num, floor_num, category
         FROM clean WHERE "area (m2)" IS NOT NULL AND district IS NOT NULL),
-r AS (SELECT listing_id AS request_id, city_province AS rc, district AS rd,
+r AS (SELECT DISTINCT listing_id AS request_id, city_province AS rc, district AS rd,
              CAST("area (m2)" AS DOUBLE) AS ra FROM clean),
-p AS (SELECT r.request_id, l.* FROM r JOIN l
+p AS (SELECT r.*, l.* FROM r JOIN l
         ON l.city_province = r.rc AND l.district = r.rd
        AND l.area_m2 > r.ra * 0.7::DOUBLE AND l.area_m2 < r.ra * 1.3::DOUBLE
        AND l.listing_id != r.request_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY listing_id) AS rk FROM p)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id, rc, rd, ra
+                                        ORDER BY listing_id, area_m2, price_per_m2) AS rk FROM p)
 SELECT request_id, CAST(rk AS INTEGER) AS rank, listing_id, area_m2, price_per_m2, bedroom_num,
        floor_num, category
 FROM ranked WHERE rk <= 5""")

@@ -1,14 +1,12 @@
 """Declared schemas and fixed values for every stage of the listings pipeline.
 
 One ``StructType`` per stage replaces header inference: raw listings are
-all text, clean listings carry the typed columns the cleaning job emits,
-and the scoring input is what a valuation request supplies.
+all text, clean listings carry the typed columns the cleaning job emits.
 """
 
 from __future__ import annotations
 
 from pyspark.sql.types import (
-    DoubleType,
     FloatType,
     IntegerType,
     LongType,
@@ -24,7 +22,6 @@ from pyspark.sql.types import (
 # ---------------------------------------------------------------------------
 UNIT_MILLION = "triệu"            # price unit: million VND
 UNIT_THOUSAND = "nghìn"           # price unit: thousand VND
-PRICE_NEGOTIABLE = "Thương lượng"  # "negotiable" price marker
 SAVED_MARKER = "Lưu tin"          # "save listing" button text glued to addresses
 FLOOR_WORD = "tầng"               # "floors" suffix
 ROOM_WORD = "phòng"               # "rooms" suffix
@@ -38,7 +35,6 @@ PRICE_TRIM_HIGH = 1e8
 
 # Column groups.
 COUNT_COLUMNS = ["floor_num", "toilet_num", "livingroom_num", "bedroom_num"]
-TEXT_FILL_COLUMNS = ["category", "direction", "liability", "location"]
 IMPUTE_COLUMNS = ["bedroom_num", "toilet_num", "floor_num", "livingroom_num"]
 NUMERIC_FEATURES = ["area (m2)", "floor_num", "toilet_num", "livingroom_num",
                     "bedroom_num", "street (m)"]
@@ -82,18 +78,3 @@ CLEAN = StructType([
     StructField("city_province", StringType()),
     StructField(STREET, FloatType()),
 ])
-
-SCORING_INPUT = StructType([
-    StructField("request_id", LongType()),
-    StructField(AREA, DoubleType()),
-    StructField("bedroom_num", IntegerType()),
-    StructField("floor_num", IntegerType()),
-    StructField("toilet_num", IntegerType()),
-    StructField("livingroom_num", IntegerType()),
-    StructField(STREET, DoubleType()),
-    StructField("city_province", StringType()),
-    StructField("district", StringType()),
-    StructField("category", StringType()),
-    StructField("direction", StringType()),
-    StructField("liability", StringType()),
-])

@@ -1,16 +1,14 @@
 """Session factory and the shared checkpoint folder.
 
 Adaptive execution is on (runtime coalescing, skew-join splitting and
-broadcast conversion from measured sizes), the web UI is off.  Lineage is
-cut only into the folder the cluster names in ``spark.checkpoint.dir``;
-a machine-local temporary folder is used only for a local master where the
-setting is absent (tests).
+broadcast conversion from measured sizes), the web UI is off.  Checkpoints go
+to the folder the cluster names in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -47,38 +45,29 @@ def get_session(app_name: str = "parcela", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, registering it with the context.
+    """The shared checkpoint folder, registered with the context.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    and the master is local does it fall back to a fresh temporary folder.
+    It is the one ``spark.checkpoint.dir`` names.  Where the setting is
+    absent, a folder beside the warehouse serves: the warehouse is shared by
+    definition, a machine's own temp folder is not.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        path = tempfile.mkdtemp(prefix="parcela-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path.rstrip("/")
 
 
-def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` kept in memory, spilling to disk, for the iterative fits within the block only.
 
-    The plan is computed exactly once (``checkpoint()`` recomputes it to
-    write unless cached), the copy survives executor loss, and reads keep
-    column pruning and filter pushdown.
+    Blocks that a lost executor held are computed again from the sources.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def persist(df: DataFrame) -> DataFrame:
-    """Cache a frame reused by several actions (iterative fits); spills to disk."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()

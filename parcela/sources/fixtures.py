@@ -5,11 +5,9 @@ from ``lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ part`` by a fixed rule
 (FIXTURES.md §3): every raw column is text, with the same shapes, units,
 markers and gaps that the cleaning rules have to handle.
 
-Join plan: the 25-row nation table is broadcast behind a row-count check;
-customer -> orders and -> part are equi-joins left to the planner, so AQE
-picks broadcast or shuffle from measured sizes at run time; lineitem ->
-orders is a merge join on orderkey (the join it is at any real scale).  The
-projections are pushed into each parquet scan.
+Join plan: all joins are equi-joins left to the planner, so AQE picks
+broadcast or shuffle from sizes in bytes.  The projections are pushed into
+each parquet scan.
 """
 
 from __future__ import annotations
@@ -17,10 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.operators.joins import broadcast_if_small
-
-NATION_MAX_ROWS = 1000
-
 
 def _s(c: Column) -> Column:
     return c.cast("string")
@@ -33,14 +27,12 @@ def derive_raw(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
                          "l_quantity", "l_extendedprice", "l_returnflag")
     o = orders.select("o_orderkey", "o_custkey", "o_orderpriority")
     c = customer.select("c_custkey", "c_nationkey")
-    n = broadcast_if_small(nation.select("n_nationkey", "n_name"), NATION_MAX_ROWS)
+    n = nation.select("n_nationkey", "n_name")
     p = part.select("p_partkey", "p_name", "p_type")
 
     placed = c.join(n, c.c_nationkey == n.n_nationkey)
     orders_placed = o.join(placed, o.o_custkey == placed.c_custkey)
-    # Both fact tables are (or at scale, get) hash-partitioned on orderkey,
-    # so a merge join needs no further exchange; never broadcast lineitem.
-    rows = (li.hint("merge").join(orders_placed, li.l_orderkey == orders_placed.o_orderkey)
+    rows = (li.join(orders_placed, li.l_orderkey == orders_placed.o_orderkey)
               .join(p, li.l_partkey == p.p_partkey))
 
     rid = F.col("l_orderkey") * 10 + F.col("l_linenumber")
@@ -94,28 +86,8 @@ def derive_raw(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
     )
 
 
-def spread_scan(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan on ``key`` when it yields fewer splits than the
-    cluster has task slots (e.g. one large single-row-group file).
-
-    The key is the scan's next join key, so the exchange stands in for the
-    join's own shuffle.  A scan that already has enough splits (any real
-    multi-file table) is returned untouched, so at scale nothing is added.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, key)
-
-
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw (all-text) listings for one scale-factor folder of driver tables."""
     t = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
          for name in ("lineitem", "orders", "customer", "nation", "part")}
-    # Below the broadcast threshold any of these may end up the streamed
-    # side, so each is spread on its join key (nation is always broadcast).
-    return derive_raw(spread_scan(t["lineitem"], "l_orderkey"),
-                      spread_scan(t["orders"], "o_orderkey"),
-                      spread_scan(t["customer"], "c_custkey"),
-                      t["nation"],
-                      spread_scan(t["part"], "p_partkey"))
+    return derive_raw(t["lineitem"], t["orders"], t["customer"], t["nation"], t["part"])

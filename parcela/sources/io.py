@@ -1,11 +1,10 @@
-"""Sources and sinks: CSV scans with declared schemas, CSV / Parquet sinks,
-rows -> DataFrame, and fitted-pipeline persistence (S1-S6)."""
+"""Sources and sinks: CSV scans with declared schemas, the CSV sink and rows ->
+DataFrame (S1-S4).  Fitted models are saved and read by ``models.PriceModel``."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -22,11 +21,6 @@ def read_clean_csv(spark: SparkSession, path: str, schema: StructType = CLEAN) -
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def read_clean(spark: SparkSession, path: str) -> DataFrame:
-    """Clean listings stored as Parquet (filters and projections reach the scan)."""
-    return spark.read.parquet(path)
-
-
 def rows_to_frame(spark: SparkSession, rows: Iterable, schema: StructType) -> DataFrame:
     """S3: small driver-side rows (e.g. valuation requests) with a declared schema."""
     return spark.createDataFrame(list(rows), schema=schema)
@@ -37,21 +31,3 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     one task and is only for small outputs."""
     out = df.coalesce(1) if single_file else df
     out.write.mode("overwrite").option("header", True).csv(path)
-
-
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Columnar sink; ``partition_by`` (e.g. city) enables partition pruning."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
-def save_model(model: PipelineModel, path: str) -> None:
-    """Save the whole fitted pipeline (encoders, scaler and regressor)."""
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    """Load a fitted pipeline saved by ``save_model``."""
-    return PipelineModel.load(path)

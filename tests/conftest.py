@@ -10,10 +10,11 @@ SMOKE = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from parcela.session import get_session
     s = get_session("parcela-tests", master="local[4]",
                     conf={"spark.sql.shuffle.partitions": "4",
+                          "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
                           "spark.sql.execution.arrow.pyspark.enabled": "true"})
     yield s
     s.stop()

@@ -1,11 +1,12 @@
 """Statistical estimate, comparables (against brute force), price text, top-k."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from parcela.functions.text import price_text, total_price
 from parcela.operators.estimate import comparables, statistical_estimate
-from parcela.operators.joins import broadcast_if_small, top_k_per_group
 
 LISTINGS = [
     # listing_id, price, area, category, district, city, direction, bedrooms
@@ -40,6 +41,7 @@ def test_estimate_levels_and_fallbacks(spark, listings):
         (7, "house", "D1", "Đông", 3, 40.0),    # factors 1.1 * 1.05 * 1.1
         (8, "house", "D1", "Nam", 1, 120.0),    # factors 0.9 * 1.05 * 0.95
         (9, "house", "D1", "Nam", 2, 0.0),      # area <= 0 -> 0
+        (10, "  ", "D1", "Tây", 2, 80.0),       # blanks match nothing -> whole table
     ])
     out = {r.request_id: r for r in statistical_estimate(req, listings).collect()}
     assert out[1].mean_price == pytest.approx(15e6) and out[1].mean_source == "category_district"
@@ -52,6 +54,7 @@ def test_estimate_levels_and_fallbacks(spark, listings):
     assert out[1].total_est == pytest.approx(15e6 * 80)
     assert out[7].price_per_m2_est == pytest.approx(15e6 * 1.1 * 1.05 * 1.1)
     assert out[8].price_per_m2_est == pytest.approx(15e6 * 0.9 * 1.05 * 0.95)
+    assert out[10].mean_price == pytest.approx(30e6) and out[10].mean_source == "all"
     assert out[9].price_per_m2_est == 0.0 and out[9].total_est == 0.0
 
 
@@ -99,16 +102,26 @@ def test_total_price_rounds_half_even(spark):
     assert [r[0] for r in df.select(total_price(F.col("p"), F.col("a"))).collect()] == [2, 4, 2500]
 
 
-def test_top_k_per_group_salted(spark):
-    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id"))
-    out = top_k_per_group(df, ["g"], [F.col("id")], 2, salt_key="id", salts=8).collect()
-    assert sorted((r.g, r.id, r["rank"]) for r in out) == \
-        [(0, 0, 1), (0, 3, 2), (1, 1, 1), (1, 4, 2), (2, 2, 1), (2, 5, 2)]
-
-
-def test_broadcast_if_small(spark):
-    small = spark.range(5)
-    plan = small.join(broadcast_if_small(spark.range(3), 10), "id")._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in plan.lower()
-    big = broadcast_if_small(spark.range(50), 10)
-    assert "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower()
+def brute_comparables(requests, listings, k, exclude_self):
+    out = set()
+    for rid, c, d, a in {tuple(r) for r in requests}:
+        hits = sorted({(i, x, p) for i, lc, ld, x, p in listings if a and x and lc == c and ld == d
+                       and None not in (c, d) and a * 0.7 < x < a * 1.3 and not (exclude_self and i == rid)})
+        out |= {(rid, c, d, a, n + 1, *h) for n, h in enumerate(hits[:k])}
+    return out
+
+
+@pytest.mark.parametrize("exclude_self", [True, False])
+def test_comparables_in_one_hot_district(spark, exclude_self):
+    """One district, close and extreme areas, repeated ids, missing fields."""
+    rng = random.Random(3)
+    areas = [rng.uniform(20, 140) for _ in range(150)] + [0.001, 0.0013, 1e7, 50.0, 50.0 * 0.7, 50.0 * 1.3, 50.0, 0.0, -3.0, None]
+    rows = [(rng.randrange(90), "C", "D" if i % 11 else None, a, float(i)) for i, a in enumerate(areas)]
+    table = spark.createDataFrame([(i, p, a, "k", d, c, "x", 1, 1) for i, c, d, a, p in rows],
+                                  "listing_id long, price_per_m2 double, `area (m2)` double, category string, district string, "
+                                  "city_province string, direction string, bedroom_num int, floor_num int")
+    req = table.withColumnRenamed("listing_id", "request_id")
+    got = comparables(req, table, k=5, exclude_self=exclude_self)
+    asked = [(i, c, d, a) for i, c, d, a, _ in rows]
+    mine = sorted((r.request_id, r["rank"], r.listing_id, r.area_m2, r.price_per_m2) for r in got.collect())
+    assert mine == sorted((w[0], w[4], *w[5:]) for w in brute_comparables(asked, rows, 5, exclude_self))

@@ -1,10 +1,9 @@
-"""CSV round trip (S1, S4) and the cleaning job on a file stream."""
+"""CSV round trips (S1, S2, S4) and rows to a frame (S3)."""
 
 from parcela.operators.clean import clean
 from parcela.schema import CLEAN, RAW
 from parcela.sources import io
 from parcela.sources.fixtures import raw_listings
-from parcela.streaming.clean_stream import start_clean_stream
 
 
 def test_raw_csv_round_trip_then_clean(spark, sf_dir, scratch):
@@ -23,12 +22,6 @@ def test_clean_csv_round_trip(spark, clean_small, scratch):
     assert back.exceptAll(clean_small).count() == 0
 
 
-def test_stream_clean_matches_batch(spark, sf_dir, scratch):
-    raw = raw_listings(spark, sf_dir)
-    io.write_csv(raw.repartition(3), f"{scratch}/incoming")
-    q = start_clean_stream(spark, f"{scratch}/incoming", f"{scratch}/out",
-                           checkpoint=f"{scratch}/ckpt")
-    q.awaitTermination(120)
-    out = spark.read.parquet(f"{scratch}/out")
-    assert out.count() == clean(raw).count()
-    assert out.exceptAll(clean(io.read_raw_csv(spark, f"{scratch}/incoming"))).count() == 0
+def test_rows_to_frame(spark):
+    frame = io.rows_to_frame(spark, iter([(1, "a"), (2, None)]), "id long, name string")
+    assert [tuple(r) for r in frame.orderBy("id").collect()] == [(1, "a"), (2, None)]

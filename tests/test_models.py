@@ -1,7 +1,6 @@
 """Feature pipeline, model fit / save / load / score on small data."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from parcela.operators import evaluate, features, impute, models, score
 from parcela.schema import CATEGORICAL_FEATURES, IMPUTE_COLUMNS, PRICE
@@ -31,27 +30,56 @@ def test_label_order_is_frequency_then_label(split):
         assert list(lab) == sorted(counts, key=lambda v: (-counts[v], v))
 
 
-def test_fit_save_load_score(spark, split, scratch):
-    train, test = split
-    train = models.prepare_training(train)
+def test_fit_save_load_score(spark, clean_small, scratch):
+    train, _ = features.train_test_split(impute.model_table(clean_small))
+    _, test = features.train_test_split(impute.trim_prices(clean_small))
     fitted = models.fit_pipeline(train, models.gbt(max_iter=3, max_depth=3))
-    model = models.PriceModel(fitted, models.training_medians(train))
+    model = models.PriceModel(fitted, models.training_medians(clean_small))
     path = f"{scratch}/gbt"
     model.save(path)
     loaded = models.PriceModel.load(path)
     assert loaded.medians == pytest.approx(model.medians)
-    reqs = test.withColumnRenamed("listing_id", "request_id").drop(PRICE, "price_log")
+    reqs = test.withColumnRenamed("listing_id", "request_id").drop(PRICE)
     a = score.score(model, reqs).orderBy("request_id").collect()
     b = score.score(loaded, reqs).orderBy("request_id").collect()
-    assert [r.prediction_log for r in a] == pytest.approx([r.prediction_log for r in b])
-    assert all(r.total_text.endswith("VND") for r in a)
-    metrics = evaluate.evaluate_model(models.predict(fitted, test)).first()
-    assert metrics.rmse > 0 and metrics.mse == pytest.approx(metrics.rmse ** 2)
+    known = [r for r in a if r.prediction_log is not None]
+    assert len(a) == len(b) == test.count()
+    assert len(a) - len(known) == test.where("`area (m2)` IS NULL").count() > 0      # kept, without a prediction
+    assert [r.prediction_log for r in known] == pytest.approx([r.prediction_log for r in b if r.prediction_log is not None])
+    assert all(r.total_text.endswith("VND") for r in known)
 
 
-def test_single_request_uses_training_medians(spark, split):
-    train, _ = split
-    medians = models.training_medians(train)
+def test_scoring_sees_the_flags_and_medians_of_training(spark, clean_small):
+    """Unfilled test rows come out of scoring as the model table has them."""
+    _, want = features.train_test_split(impute.model_table(clean_small))
+    _, test = features.train_test_split(impute.trim_prices(clean_small))
+    ready = score.flag_with_stored_medians(score.normalize_requests(test), models.training_medians(clean_small))
+    cols = ["listing_id", *IMPUTE_COLUMNS, *[f"{c}_missing_flag" for c in IMPUTE_COLUMNS]]
+    assert sorted(map(tuple, ready.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+    assert sum(r.bedroom_num_missing_flag for r in ready.collect()) > 0
+
+
+def test_compare_counts_unscored_rows(spark, clean_small):
+    train, test = features.train_test_split(impute.model_table(clean_small))
+    fitted = models.fit_all(train, {"linear": models.linear_regression(), "tree": models.decision_tree(maxDepth=2)})
+    predicted = models.predict_all(fitted, test)
+    rows = evaluate.compare_models(predicted, {n: f"prediction_{n}" for n in fitted}).collect()
+    assert {r.model for r in rows} == {"linear", "tree"}
+    assert all(r.n_total == test.count() and r.n_scored == test.where("`area (m2)` IS NOT NULL").count() for r in rows)
+    one = evaluate.evaluate_model(predicted, "prediction_tree").first()
+    assert next(r.rmse for r in rows if r.model == "tree") == pytest.approx(one.rmse) and one.mse == pytest.approx(one.rmse ** 2)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= 1      # clean_small alone
+
+
+def test_constant_label_and_no_rows(spark):
+    rows = spark.createDataFrame([(5.0, 4.0), (5.0, 6.0), (5.0, None)], "actual_price double, predicted_price double")
+    m = evaluate.regression_metrics(rows).first()
+    assert (m.n, m.rmse, m.r2) == (2, 1.0, None)
+    assert evaluate.regression_metrics(rows.limit(0)).first().n == 0
+
+
+def test_single_request_uses_training_medians(spark, clean_small):
+    medians = models.training_medians(clean_small)
     req = spark.createDataFrame(
         [(1, "80", "", None, "abc", "2", "8", "C", "D", "x", "nan", None)],
         "request_id long, `area (m2)` string, bedroom_num string, floor_num string, "
@@ -64,3 +92,14 @@ def test_single_request_uses_training_medians(spark, split):
     for c in IMPUTE_COLUMNS[:3]:
         assert filled[c] is not None
     assert filled.bedroom_num == medians["bedroom_num"] and filled.bedroom_num_missing_flag == 1
+
+
+def test_missing_and_short_named_columns(spark):
+    req = spark.createDataFrame([(1, " ", 2.5)], "request_id long, area string, bedroom_num double")
+    norm = score.normalize_requests(req).first()
+    assert norm["area (m2)"] == 0.0 and norm["street (m)"] == -1.0 and norm.toilet_num == -1 and norm.bedroom_num == 2.5
+    assert impute.with_short_names(spark.createDataFrame([(1.0, 2.0)], "`area (m2)` double, street_width_m double")).columns[-1] == "area_m2"
+    with pytest.raises(ValueError):
+        impute.with_short_names(spark.createDataFrame([(1.0,)], "area_m2 double"))
+    with pytest.raises(ValueError):
+        score.with_alias(req, "street (m)")

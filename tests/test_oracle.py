@@ -15,7 +15,9 @@ NAMES = ["raw_listings", "clean_listings", "avg_price_by_city_top10", "clean_rep
          "null_counts", "price_summary", "price_boxplot", "price_range_share",
          "most_common_district", "avg_price_by_district", "sorted_options", "impute_medians",
          "model_table", "statistical_estimate", "comparables_top5", "price_text",
-         "regression_metrics"]
+         "regression_metrics", "statistical_estimate_requests", "scoring_input", "page_table",
+         "table_overview", "district_report_city", "impute_medians_approx", "csv_round_trip",
+         "display_text", "count_trees"]
 
 
 @pytest.fixture(scope="module")
