@@ -12,10 +12,20 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcela.session import ensure_checkpoint_dir
+
+
+#: Bytes that cross to Python at once; rows count for less where texts differ a thousandfold in size.
+BATCH_BYTES = 4 << 20
+
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context, so that their Python can import it."""
+    """Sends this package to the executors, once a context, so that their Python can import it,
+    and bounds Arrow batches by bytes unless the session already does."""
     sc = spark.sparkContext
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit).removesuffix("b") == str(64 << 20):     # Spark's default
+        spark.conf.set(limit, str(BATCH_BYTES))
     if getattr(sc, "_parcela_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent
@@ -33,21 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``, registered with the context.
-
-    Where the setting is absent, a folder beside the warehouse is used: the
-    warehouse is shared by definition, a machine's own temp folder is not.
-    """
-    sc = spark.sparkContext
-    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and continue from the files.
 
@@ -55,7 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
     is no longer referenced and ``spark.cleaner.referenceTracking.cleanCheckpoints``
     is on.
     """
-    checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -69,7 +64,7 @@ def column_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def chunks(batch: pa.RecordBatch, name: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, name: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``limit`` bytes of one column: what Python holds at once stays bounded."""
     sizes = batch.column(name).cast(pa.large_binary())
     start = held = 0

@@ -95,7 +95,7 @@ class FragmentEncoder:
     one becomes the older one.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 400_000):
+    def __init__(self, vocabulary: str, keep: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         path = resolve(vocabulary)

@@ -49,6 +49,8 @@ from parcela.llm.common import chunks, column_bytes, cut, table, to_batch
 from parcela.llm.components import components
 from parcela.llm.textstats import TextBlock, mix
 
+#: Bytes of text that Python turns into sets at once.
+CHUNK = 1 << 20
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -297,20 +299,21 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, version, n_shingles, class) of every row; equal sets have equal classes.
+    """(doc_id, version, n_shingles, class, node) of every row; equal sets have equal classes.
     ``version`` is the hash of the text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, limit=4 << 20):
+            for part in chunks(batch, limit=CHUNK):
                 sets = _sets(column_bytes(part.column("text")), n)
+                names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("version"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())], schema=schema)
+                     pa.array(names, pa.binary()), pa.array(map(_node, names), pa.int64())], schema=schema)
 
     return (_texts(docs).withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
-            .mapInArrow(run, "doc_id long, version long, n_shingles long, class binary"))
+            .mapInArrow(run, "doc_id long, version long, n_shingles long, class binary, node long"))
 
 
 def _node(name: bytes) -> int:
@@ -324,7 +327,7 @@ def document_cells(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, limit=4 << 20):
+            for part in chunks(batch, limit=CHUNK):
                 texts = list(dict.fromkeys(column_bytes(part.column("text"))))     # a copy adds nothing
                 h, ends = shingle_sets(texts, n)
                 node = np.array([_node(xxhash.xxh3_128_digest(s.tobytes())) for s in np.split(h, ends[:-1])], np.int64)
@@ -340,7 +343,7 @@ def _set_cells(sets: DataFrame, num: int, den: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "grams", 4 << 20):
+            for part in chunks(batch, "grams", CHUNK):
                 raw = part.column("grams").to_pylist()
                 h = np.frombuffer(b"".join(raw), "<u8")
                 cell, owner = cell_keys(h, np.cumsum([len(r) // 8 for r in raw]), num, den, seed)
@@ -360,7 +363,7 @@ def _member_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, limit=4 << 20):
+            for part in chunks(batch, limit=CHUNK):
                 raw = [s.tobytes() for s in _sets(column_bytes(part.column("text")), n)]
                 yield pa.RecordBatch.from_arrays([part.column("region"), part.column("class"), pa.array(raw, pa.binary())], schema=schema)
 
@@ -429,7 +432,7 @@ def _block_pairs(sets: DataFrame, totals: DataFrame, keys: list[str], task_grams
             .select(*sets.columns, "i", "j"))
 
 
-def region_links(sets: DataFrame, num: int, den: int, task_grams: int = 2_000_000) -> DataFrame:
+def region_links(sets: DataFrame, num: int, den: int, task_grams: int = 1_000_000) -> DataFrame:
     """Spanning links (a, b) of classes within the regions of ``sets`` (region, class, grams).
 
     ``task_grams`` bounds the n-grams that one task compares at once.
@@ -479,10 +482,10 @@ def _with_node(frame: DataFrame) -> DataFrame:
     return frame.mapInArrow(run, f"{', '.join(c.replace(':', ' ', 1) for c in schema.split(','))}, node long")
 
 
-def join_components(docs: DataFrame, n: int, num: int, den: int, task_grams: int = 2_000_000) -> DataFrame:
+def join_components(docs: DataFrame, n: int, num: int, den: int, task_grams: int = 1_000_000) -> DataFrame:
     """(doc_id, version, n_shingles, component_id) of every row: the smallest ``doc_id`` that links
     of similarity ``num / den`` or more reach, the row's own included."""
-    rows = cut(_with_node(classes(docs, n)))
+    rows = cut(classes(docs, n))
     named = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     first = named.groupBy("class", "node").agg(F.min(F.struct("doc_id", "version")).alias("r"))
     regions = _meet(document_cells(docs, n, num, den)).withColumnRenamed("label", "region")

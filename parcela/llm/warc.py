@@ -38,7 +38,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm.common import checkpoint_dir, chunks, column_bytes, cut, table, to_batch
+from parcela.llm.common import chunks, column_bytes, cut, table, to_batch
+from parcela.session import ensure_checkpoint_dir
 
 #: Fixed values of the seekable format: the skippable frame's magic, and the seek table's.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -243,7 +244,7 @@ def resolve(records: DataFrame) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages to bundles, reads these back: one row a page."""
-    folder = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     index = write_bundles(table(spark, sf_dir, "pages"), folder)
     return read_bundles(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
