@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcela.llm import jaccard, line_dedup, line_rules, packing, qda
-from parcela.llm.common import checkpoint_dir, ship, table
+from parcela.llm.common import ship, table
+from parcela.session import ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates share 80 % of their distinct five-word shingles.
@@ -75,11 +76,22 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the rows of the last."""
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; the rows of the last.
+
+    A stage's files are removed once the next stage is written; the last
+    stage's files are the result and stay.
+    """
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            _delete(spark, f"{folder}/{k - 1}")
     return docs
