@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -48,10 +49,15 @@ def cut(df: DataFrame) -> DataFrame:
 
     The copy survives lost executors.  Spark removes the files when the frame
     is no longer referenced and ``spark.cleaner.referenceTracking.cleanCheckpoints``
-    is on.
+    is on.  The shuffles that led to the copy are not needed any more; Spark's
+    cleaner deletes them as soon as the driver's garbage collection, which is asked
+    for here, finds them unreferenced.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    kept = df.checkpoint()
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return kept
 
 
 def held_out(doc_id: Column) -> Column:

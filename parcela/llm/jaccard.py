@@ -12,8 +12,8 @@ with equal sets are one class.
    divided by projections instead: its n-grams are dealt by hash to more parts
    than a link can have differences; linked classes agree wholly on a part, so
    they meet in the cell of that part's content.  Classes that meet in cells
-   make up a region; regions that are still large are dealt again, by other
-   hashes, on their own.
+   make up a region; a region that is still large is dealt again on its own,
+   by those of its n-grams that are rarest in it.
 3. Within a region document pivots tell something.  Classes go to the nearest
    pivot (its Voronoi cell) and also to any pivot whose distance is within
    twice the join radius of that, which the triangle inequality proves enough;
@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcela.llm.common import chunks, column_bytes, cut, table, to_batch
@@ -120,7 +120,7 @@ def rings(num: int, den: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarra
     return np.array(starts[:-1]), np.array(parts), np.array(spares)
 
 
-def cell_keys(h: np.ndarray, ends: np.ndarray, num: int, den: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def cell_keys(h: np.ndarray, ends: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(cell, set number) of every part of every set, in its own ring and in the one below."""
     starts, parts, spares = rings(num, den)
     size = np.diff(ends, prepend=0)
@@ -137,7 +137,7 @@ def cell_keys(h: np.ndarray, ends: np.ndarray, num: int, den: int, seed: int = 0
             continue
         base = np.cumsum(m) - m
         d = doc[use]
-        where = mix(h[use] ^ mix(np.asarray(level[d] * 64 + seed, np.int64).astype(np.uint64))) % m[d].astype(np.uint64)
+        where = mix(h[use] ^ mix(np.asarray(level[d], np.int64).astype(np.uint64))) % m[d].astype(np.uint64)
         part = base[d] + where.astype(np.int64)
         n = int(m.sum())
         count = np.bincount(part, minlength=n)
@@ -147,7 +147,7 @@ def cell_keys(h: np.ndarray, ends: np.ndarray, num: int, den: int, seed: int = 0
         number = np.arange(n) - base[owner]
         empty = np.bincount(owner, count == 0, len(size))
         keep = (count > 0) | (empty > spares[np.maximum(level, 0)])[owner]
-        key = mix(mix(s) + mix(count + (number << 20)) + mix(np.asarray(level[owner] * 64 + seed).astype(np.uint64)))
+        key = mix(mix(s) + mix(count + (number << 20)) + mix(np.asarray(level[owner]).astype(np.uint64)))
         cells.append(key[keep])
         owners.append(owner[keep])
     if not cells:
@@ -337,8 +337,48 @@ def document_cells(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return _texts(docs).where("doc_id IS NOT NULL").select("text").mapInArrow(run, "cell long, node long")
 
 
-def _set_cells(sets: DataFrame, num: int, den: int, seed: int) -> DataFrame:
-    """(cell, node) of sets, where a cell lies within the set's region."""
+def _rarity(sets: DataFrame, buckets: int) -> np.ndarray:
+    """How many n-grams of ``sets`` fall into each of ``buckets`` hash buckets of (region, n-gram)."""
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "grams", CHUNK):
+                raw = part.column("grams").to_pylist()
+                h = np.frombuffer(b"".join(raw), "<u8")
+                region = np.repeat(part.column("region").to_numpy(), [len(r) // 8 for r in raw])
+                bucket, n = np.unique(mix(h ^ mix(region)) % np.uint64(buckets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(n)], schema=schema)
+
+    counts = np.zeros(buckets, np.int32)
+    # At most ``buckets`` rows, whatever the input.
+    found = sets.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(2 ** 31 - 1)).cast("int").alias("n")).toArrow()
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def prefix_cells(h: np.ndarray, ends: np.ndarray, region: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, set number): each set's rarest n-grams, so many that linked sets have one of these in common.
+
+    A link needs ``num / den`` of either set in common; of a set of size n, the first
+    n less that share, plus one, in any order common to all sets, cannot all be missing.
+    """
+    size = np.diff(ends, prepend=0)
+    doc = np.repeat(np.arange(len(size)), size)
+    key = mix(h ^ mix(region)[doc])
+    order = np.lexsort((key, counts[key % np.uint64(len(counts))], doc))
+    place = np.arange(len(h)) - np.repeat(ends - size, size)
+    first = place < (size + 1 + -(num * size) // den)[doc]     # n - ceil(n num / den) + 1
+    return key[order][first], doc[first]
+
+
+def _rare_cells(sets: DataFrame, num: int, den: int, buckets: int = 1 << 22) -> DataFrame:
+    """(cell, node): sets of a region meet in rare n-grams that both hold.
+
+    Rarity is the count of an n-gram's hash bucket.  The buckets are a bounded
+    broadcast; how fine they are decides who meets, never whether linked sets do.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(_rarity(sets, buckets))
     schema = pa.schema([("cell", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,28 +386,27 @@ def _set_cells(sets: DataFrame, num: int, den: int, seed: int) -> DataFrame:
             for part in chunks(batch, "grams", CHUNK):
                 raw = part.column("grams").to_pylist()
                 h = np.frombuffer(b"".join(raw), "<u8")
-                cell, owner = cell_keys(h, np.cumsum([len(r) // 8 for r in raw]), num, den, seed)
-                region = part.column("region").to_numpy()
+                ends = np.cumsum([len(r) // 8 for r in raw])
+                cell, owner = prefix_cells(h, ends, part.column("region").to_numpy(), counts.value, num, den)
                 node = np.array([_node(x) for x in part.column("class").to_pylist()], np.int64)
-                cell = mix(cell ^ mix(region[owner]))
                 yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(node[owner])], schema=schema)
 
     return sets.mapInArrow(run, "cell long, node long")
 
 
 def _member_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """(region, class, grams) of the classes in ``members`` (doc_id, version, class, region)."""
-    schema = pa.schema([("region", pa.int64()), ("class", pa.binary()), ("grams", pa.binary())])
+    """(region, total, class, grams) of the classes in ``members`` (doc_id, version, class, region, total)."""
+    schema = pa.schema([("region", pa.int64()), ("total", pa.int64()), ("class", pa.binary()), ("grams", pa.binary())])
     texts = (_texts(docs).withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
-             .join(members.hint("shuffle_hash"), ["doc_id", "version"]).select("text", "region", "class"))
+             .join(members.hint("shuffle_hash"), ["doc_id", "version"]).select("text", "region", "total", "class"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, limit=CHUNK):
                 raw = [s.tobytes() for s in _sets(column_bytes(part.column("text")), n)]
-                yield pa.RecordBatch.from_arrays([part.column("region"), part.column("class"), pa.array(raw, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("region", "total", "class")), pa.array(raw, pa.binary())], schema=schema)
 
-    return texts.mapInArrow(run, "region long, class binary, grams binary")
+    return texts.mapInArrow(run, "region long, total long, class binary, grams binary")
 
 
 def _join_groups(sets: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
@@ -390,16 +429,16 @@ def _join_groups(sets: DataFrame, keys: list[str], num: int, den: int) -> DataFr
     return sets.groupBy(*keys).applyInArrow(run, LINK_DDL)
 
 
-def _by_pivots(large: DataFrame, sizes: DataFrame, num: int, den: int, slice_grams: int, pivots: int = 16) -> DataFrame:
-    """(region, part, class, grams): classes of large regions dealt to the Voronoi cells of document
+def _by_pivots(large: DataFrame, num: int, den: int, slice_grams: int, pivots: int = 16) -> DataFrame:
+    """(region, part, class, size): classes of large regions dealt to the Voronoi cells of document
     pivots, boundary classes to several.  Pivots are each region's first classes by hash."""
+    slices = F.ceil(F.col("total") / slice_grams).cast("int")
     picked = (large.withColumn("_n", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("class"), "class")))
-              .where(F.col("_n") <= pivots).select("region", "class", "grams"))
-    slices = sizes.select("region", F.ceil(F.col("grams_total") / slice_grams).cast("int").alias("slices"))
-    sliced = large.join(slices, "region").withColumn("slice", F.pmod(F.xxhash64("class", F.lit(1)), F.col("slices")).cast("int")).drop("slices")
-    pivot_rows = (picked.join(slices, "region").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+              .where(F.col("_n") <= pivots).drop("_n"))
+    sliced = large.withColumn("slice", F.pmod(F.xxhash64("class", F.lit(1)), slices).cast("int"))
+    pivot_rows = (picked.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
                   .select(*(F.col(c).alias(c) for c in ("region", "class", "grams", "slice"))))     # columns of its own
-    schema = pa.schema([("region", pa.int64()), ("part", pa.int32()), ("class", pa.binary()), ("grams", pa.binary())])
+    schema = pa.schema([("region", pa.int64()), ("part", pa.int32()), ("class", pa.binary()), ("size", pa.int64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -412,15 +451,11 @@ def _by_pivots(large: DataFrame, sizes: DataFrame, num: int, den: int, slice_gra
             to = np.stack([held.distances(len(names) + k, tokens, owner, which) for k in range(len(centres))])
             region = left.column("region")[0].as_py()
             cells = voronoi(to, held.radius, 1 - 2 * held.radius)
-            rows = [(region, k, names[i], grams[i]) for k, c in enumerate(cells) for i in np.flatnonzero(c).tolist()]
+            rows = [(region, k, names[i], len(grams[i]) // 8) for k, c in enumerate(cells) for i in np.flatnonzero(c).tolist()]
         return pa.Table.from_batches([to_batch(rows, schema)])
 
     return (sliced.groupBy("region", "slice").cogroup(pivot_rows.groupBy("region", "slice"))
-            .applyInArrow(run, "region long, part int, class binary, grams binary"))
-
-
-def _totals(sets: DataFrame, keys: list[str]) -> DataFrame:
-    return sets.groupBy(*keys).agg(F.sum(F.octet_length("grams") / 8).cast("long").alias("grams_total"), F.count("*").alias("rows"))
+            .applyInArrow(run, "region long, part int, class binary, size long"))
 
 
 def _block_pairs(sets: DataFrame, totals: DataFrame, keys: list[str], task_grams: int) -> DataFrame:
@@ -432,40 +467,64 @@ def _block_pairs(sets: DataFrame, totals: DataFrame, keys: list[str], task_grams
             .select(*sets.columns, "i", "j"))
 
 
+def _in_rings(large: DataFrame, num: int, den: int) -> DataFrame:
+    """(region, part, class, grams): sets by ring of size, boundary sets in two: each set stands in its
+    own ring and the one below, so linked sets meet in the ring of the smaller."""
+    starts = F.array(*[F.lit(int(x)) for x in rings(num, den)[0]])
+    size = F.octet_length("grams") / 8
+    ring = F.size(F.filter(starts, lambda x: x <= size))
+    return large.select("region", F.explode(F.array(ring, ring - 1)).alias("part"), "class", "grams")
+
+
+def _with_totals(frame: DataFrame, size: Column) -> DataFrame:
+    """Adds ``total``, the n-grams of a row's region, from rows (region, ...)."""
+    totals = frame.groupBy("region").agg(F.sum(size).cast("long").alias("total"))
+    return frame.join(totals, "region")
+
+
 def region_links(sets: DataFrame, num: int, den: int, task_grams: int = 1_000_000) -> DataFrame:
-    """Spanning links (a, b) of classes within the regions of ``sets`` (region, class, grams).
+    """Spanning links (a, b) of classes within the regions of ``sets`` (region, total, class, grams).
 
-    ``task_grams`` bounds the n-grams that one task compares at once.
+    ``task_grams`` bounds the n-grams that one task compares at once.  Small
+    regions go to a task together.  A larger one is dealt once more by rare
+    n-grams, which parts sets that met because many share a passage; what is
+    still large is divided by pivots, or, where pivots do not divide it, by size;
+    parts that exceed two tasks are compared by pairs of blocks.
     """
     links = []
-    for seed in (1, 2, 3):
-        sizes = cut(_totals(sets, ["region"]))
-        small = sets.join(sizes.where(F.col("grams_total") <= task_grams).select("region", "grams_total"), "region")
-        # Several small regions go to a task together: as many buckets as the bounded tasks that all sets fill.
-        total = sizes.agg(F.sum("grams_total")).first()[0] or 0
-        buckets = max(1, int(-(-4 * total // task_grams)))
-        grouped = small.withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(buckets)).cast("int")).withColumn("part", F.lit(0))
-        links.append(_join_groups(grouped, ["bucket"], num, den))
-        over = sizes.where(F.col("grams_total") > task_grams)
-        if over.isEmpty():
-            break
-        large = cut(sets.join(over.select("region"), "region", "left_semi"))
-        if seed == 3:
-            dealt = cut(_by_pivots(large, over, num, den, task_grams))
-            parts = cut(_totals(dealt, ["region", "part"]))
-            copies, rows = parts.agg(F.sum("rows")).first()[0], over.agg(F.sum("rows")).first()[0]
-            if copies > 2 * rows:     # pivots do not divide these regions
-                dealt, parts = large.withColumn("part", F.lit(0)), over.withColumn("part", F.lit(0))
-            fits = parts.where(F.col("grams_total") <= task_grams).select("region", "part")
-            beyond = parts.where(F.col("grams_total") > task_grams)
-            links.append(_join_groups(dealt.join(fits, ["region", "part"]), ["region", "part"], num, den))
-            links.append(_join_groups(_block_pairs(dealt, beyond, ["region", "part"], task_grams), ["region", "part", "i", "j"], num, den))
-        else:     # the same region by other hashes: chance meetings fall apart
-            found = _meet(_set_cells(large, num, den, seed)).select(F.col("node"), F.col("label").alias("_to"))
-            large = _with_node(large).join(found, "node").select(F.col("_to").alias("region"), "class", "grams")
-            sets = cut(large)
-    out = links[0]
-    for more in links[1:]:
+    for again in (False, True):
+        small = sets.where(F.col("total") <= task_grams)
+        # Buckets of about a quarter of a task, and never over a task and a quarter.
+        n = small.agg(F.sum(F.octet_length("grams") / 8)).first()[0] or 0
+        bucket = F.pmod(F.xxhash64("region"), F.lit(max(1, int(-(-4 * n // task_grams))))).cast("int")
+        links.append(_join_groups(small.select("region", F.lit(0).alias("part"), "class", "grams", bucket.alias("bucket")), ["bucket"], num, den))
+        large = sets.where(F.col("total") > task_grams)
+        if large.isEmpty():
+            return _union(links)
+        if not again:
+            found = _meet(_rare_cells(large, num, den)).select("node", F.col("label").alias("_to"))
+            dealt = _with_node(large.drop("total")).join(found, "node").select(F.col("_to").alias("region"), "class", "grams")
+            sets = cut(_with_totals(dealt, F.octet_length("grams") / 8).select("region", "total", "class", "grams"))
+    dealt = cut(_by_pivots(large, num, den, task_grams))
+    parts = dealt.groupBy("region", "part").agg(F.sum("size").alias("grams_total"))
+    # Pivots divide a region if its cells hold no more than twice its sets between them.
+    copies = dealt.groupBy("region").agg(F.sum("size").alias("_held"))
+    divided = (large.select("region", "total").distinct().join(copies, "region").where("_held <= 2 * total").select("region"))
+    whole = _in_rings(large.join(divided, "region", "left_anti"), num, den)
+    in_cells = large.join(dealt.join(divided, "region", "left_semi").drop("size"), ["region", "class"]).select("region", "part", "class", "grams")
+    ringed = whole.groupBy("region", "part").agg(F.sum(F.octet_length("grams") / 8).cast("long").alias("grams_total"))
+    totals = cut(parts.join(divided, "region", "left_semi").unionAll(ringed).select("region", "part", "grams_total"))
+    spread = in_cells.unionAll(whole)
+    fits = totals.where(F.col("grams_total") <= task_grams).select("region", "part")
+    beyond = totals.where(F.col("grams_total") > task_grams)
+    links.append(_join_groups(spread.join(fits, ["region", "part"]), ["region", "part"], num, den))
+    links.append(_join_groups(_block_pairs(spread, beyond, ["region", "part"], 2 * task_grams), ["region", "part", "i", "j"], num, den))
+    return _union(links)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
         out = out.unionAll(more)
     return out
 
@@ -487,9 +546,11 @@ def join_components(docs: DataFrame, n: int, num: int, den: int, task_grams: int
     of similarity ``num / den`` or more reach, the row's own included."""
     rows = cut(classes(docs, n))
     named = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    first = named.groupBy("class", "node").agg(F.min(F.struct("doc_id", "version")).alias("r"))
+    first = named.groupBy("class", "node", "n_shingles").agg(F.min(F.struct("doc_id", "version")).alias("r"))
     regions = _meet(document_cells(docs, n, num, den)).withColumnRenamed("label", "region")
-    members = first.join(regions, "node").select("r.doc_id", "r.version", "class", "region")
+    members = cut(first.join(regions, "node").select("r.doc_id", "r.version", "class", "region", "n_shingles"))
+    alone = members.groupBy("region").agg(F.sum("n_shingles").cast("long").alias("total"), F.count("*").alias("_rows")).where("_rows > 1")
+    members = members.join(alone, "region").select("doc_id", "version", "class", "region", "total")
     sets = cut(_member_sets(docs, members, n))
     merged = components(region_links(sets, num, den, task_grams)).select(F.col("node").alias("class"), "label")
     label = F.coalesce(F.col("label"), F.col("class"))

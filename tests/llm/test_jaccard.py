@@ -91,6 +91,22 @@ def test_linked_sets_meet_in_a_cell(num, den):
             assert np.array_equal(np.sort(a), np.sort(b)) or set(cell[owner == 0]) & set(cell[owner == 1])
 
 
+@pytest.mark.parametrize("num,den", [(90, 100), (80, 100), (50, 100)])
+def test_linked_sets_share_a_rare_gram(num, den):
+    rng = np.random.default_rng(5)
+    for size in [1, 2, 5, 10, 11, 57, 200]:
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2 ** 63, size, dtype=np.uint64))
+            fewest = -(-num * len(a) // den)
+            kept = int(rng.integers(fewest, len(a) + 1))
+            extra = max(0, (kept * den - num * len(a)) // num)
+            b = np.unique(np.concatenate([rng.permutation(a)[:kept], rng.integers(0, 2 ** 63, int(rng.integers(0, extra + 1)), dtype=np.uint64)]))
+            counts = rng.integers(0, 5, 16)
+            cell, owner = jaccard.prefix_cells(np.concatenate([a, b]), np.array([len(a), len(a) + len(b)]), np.array([7, 7]), counts, num, den)
+            assert set(cell[owner == 0]) & set(cell[owner == 1])
+            assert (owner == 0).sum() == len(a) - -(-num * len(a) // den) + 1
+
+
 def test_region_join_recurses():
     rng = random.Random(1)
     texts = [t for k in range(12) for t in near_copies(rng, [f"g{k}w{rng.randrange(90)}" for _ in range(80)], 15, 5)]
