@@ -174,12 +174,24 @@ class FragmentEncoder:
         return self.cache
 
     def runs(self, data: bytes, step: int) -> Iterator[bytes]:
-        """A text in runs of about ``step`` bytes that are encoded as the whole text is."""
-        while len(data) > step:
-            end = self._safe_end(data, step)
-            yield data[:end]
-            data = data[end:]
-        yield data
+        """A text in runs of about ``step`` bytes that are encoded as the whole text is.
+
+        Cuts and marks are both walked once, in order; a cut inside a mark is none.
+        """
+        marks = self.mark_pattern.finditer(data) if self.mark_pattern is not None else iter(())
+        start = first = last = 0     # of the run, and of the first mark that ends past the cut
+        while len(data) - start > step:
+            end = len(data)
+            for cut in self._cuts(data, start + step):
+                while last <= cut:
+                    mark = next(marks, None)
+                    first, last = mark.span() if mark else (len(data), len(data))
+                if first >= cut:
+                    end = cut
+                    break
+            yield data[start:end]
+            start = end
+        yield data[start:]
 
     def encode(self, data: bytes, step: int = 1 << 20) -> bytes:
         """Ids of a whole text; a long text goes through in runs of fragments."""
@@ -242,18 +254,13 @@ class FragmentEncoder:
         raw = out.tobytes()
         return [raw[i:j] for i, j in zip(bounds, bounds[1:])]
 
-    def _safe_end(self, data: bytes, step: int) -> int:
-        """A cut of the whole text at or after ``step``, so that runs are encoded as the text is."""
-        marks = [m.span() for m in self.mark_pattern.finditer(data, max(0, step - 64), step + (4 << 10))] if self.mark_pattern else []
-        for start in range(step, len(data), 1 << 12):
-            piece = data[start - 1:start + (1 << 12)]
-            b = np.frombuffer(piece, np.uint8)
+    def _cuts(self, data: bytes, start: int) -> Iterator[int]:
+        """The certain cuts of a whole text at or after ``start``, but for its marks."""
+        for at in range(start, len(data), 1 << 12):
+            b = np.frombuffer(data[at - 1:at + (1 << 12)], np.uint8)
             # An ASCII cut is certain whatever wide spaces the text has.
             ok = np.flatnonzero(self.wide[(b[:-1].astype(np.uint16) << 8) | b[1:]])
-            for i in ok.tolist():
-                if not any(a < start + i < z for a, z in marks):
-                    return start + i
-        return len(data)
+            yield from (ok + at).tolist()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded text; broken characters become U+FFFD, as in the library."""

@@ -31,6 +31,16 @@ def test_fragments_encode_as_the_library(coder):
             assert np.frombuffer(g, "<u4").tolist() == coder.library.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("before", [1400, 1365 + 32, 1365 + 33, 2000, 5000])
+def test_marks_far_past_a_step_stay_whole(coder, before):
+    # Wide characters have no certain cut, so the first ones past the step lie inside the mark.
+    text = ("中" * before + "<|endoftext|>") * 3 + "文 end" * 40
+    for step in (100, 1000, 4200):
+        got = coder.encode(text.encode(), step)
+        assert np.frombuffer(got, "<u4").tolist() == coder.library.encode(text, add_special_tokens=False).ids
+        assert b"".join(coder.runs(text.encode(), step)) == text.encode()
+
+
 def test_decode(coder):
     if coder.byte_level:
         for ids in ([50256, 128], [128, 262], list(range(300))):
