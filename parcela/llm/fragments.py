@@ -131,10 +131,13 @@ class FragmentEncoder:
 
     def split(self, data: bytes) -> list[bytes]:
         """The fragments of one text, in order."""
-        if self.mark_pattern is not None and (found := self.mark_pattern.search(data)):
-            a, b = found.span()
-            return [*self.split_plain(data[:a]), data[a:b], *self.split(data[b:])]
-        return self.split_plain(data)
+        out: list[bytes] = []
+        at = 0
+        for mark in self.mark_pattern.finditer(data) if self.mark_pattern is not None else ():
+            out += self.split_plain(data[at:mark.start()])
+            out.append(mark[0])
+            at = mark.end()
+        return out + self.split_plain(data[at:])
 
     def split_plain(self, data: bytes) -> list[bytes]:
         if not data:

@@ -41,6 +41,12 @@ def test_marks_far_past_a_step_stay_whole(coder, before):
         assert b"".join(coder.runs(text.encode(), step)) == text.encode()
 
 
+def test_text_of_many_marks(coder):
+    text = "".join(f"Doc {i % 7} it's\n<|endoftext|>" for i in range(5000)) + "<|endoftext|>" * 3 + "end"
+    got = coder.encode_many([text.encode()])[0]
+    assert np.frombuffer(got, "<u4").tolist() == coder.library.encode(text, add_special_tokens=False).ids
+
+
 def test_decode(coder):
     if coder.byte_level:
         for ids in ([50256, 128], [128, 262], list(range(300))):
