@@ -395,9 +395,11 @@ def _rare_cells(sets: DataFrame, num: int, den: int, buckets: int = 1 << 22) ->
 
 
 def _member_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """(region, total, class, grams) of the classes in ``members`` (doc_id, version, class, region, total)."""
+    """(region, total, class, grams) of the classes in ``members`` (doc_id, version, class, region, total).
+    Rows that repeat id and text are one before they are dealt, so a class sends one set."""
     schema = pa.schema([("region", pa.int64()), ("total", pa.int64()), ("class", pa.binary()), ("grams", pa.binary())])
-    texts = (_texts(docs).withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = (_texts(docs).where("doc_id IS NOT NULL").withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
+             .groupBy("doc_id", "version").agg(F.min("text").alias("text"))
              .join(members.hint("shuffle_hash"), ["doc_id", "version"]).select("text", "region", "total", "class"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

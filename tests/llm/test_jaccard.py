@@ -67,6 +67,14 @@ def test_join(spark, n, num, den, task):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows, n, num, den)
 
 
+def test_repeated_rows_send_one_set(spark):
+    docs = spark.createDataFrame([(1, "a b c d")] * 40 + [(1, "a b c e"), (2, "a b c d"), (None, "a b c d")], "doc_id long, text string").repartition(3)
+    rows = jaccard.classes(docs, 3).where("doc_id = 1").distinct()
+    members = rows.selectExpr("doc_id", "version", "class", "7L AS region", "4L AS total")
+    sent = jaccard._member_sets(docs, members, 3).collect()
+    assert len(sent) == 2 and {bytes(r["class"]) for r in sent} == {bytes(r["class"]) for r in rows.collect()}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "")], "doc_id long, text string")
     assert [tuple(r)[2:] for r in jaccard.join_components(docs, 3, 90, 100).collect()] == [(0, 1)]
