@@ -180,7 +180,7 @@ def _text_bits(text: str) -> int:
         bits |= BIT["sentence"]
     if text.count(",") > 1:
         bits |= BIT["commas"]
-    if "©" in text or "copyright" in text[:200].lower():
+    if "©" in text or "copyright" in text.lower():
         bits |= BIT["copyright"]
     return bits
 

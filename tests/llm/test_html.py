@@ -31,6 +31,12 @@ def test_held_out_labelled_pages(model):
     assert right / total > 0.93
 
 
+def test_copyright_anywhere_in_a_block():
+    bit = H.BIT["copyright"]
+    assert all(H._text_bits("word " * n + "Copyright by us") & bit for n in (0, 10, 39, 40, 500))
+    assert not H._text_bits("word " * 500 + "copy right") & bit
+
+
 def article(page):
     inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
     blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
