@@ -23,8 +23,9 @@ with equal sets are one class.
    divides it and else by pairs of blocks.
 
 No step samples or caps: parts, regions and blocks only decide who is
-compared.  The join answers connectivity, so within a cell only a spanning
-set of links leaves a task.
+compared.  ``join_components`` answers connectivity, so within a cell only a
+spanning set of links leaves a task; ``join_links`` gives every pair of linked
+classes, and each row's number of links.
 
 Defined cases: a null text, or one without words, has the empty set and links
 with nothing; a text with fewer words than n is one n-gram of all its words;
@@ -208,7 +209,8 @@ def voronoi(to: np.ndarray, radius: float, reach: float) -> np.ndarray:
 class Region:
     """Sets over a common numbering of their n-grams, joined recursively by pivots."""
 
-    def __init__(self, sets: list[np.ndarray], num: int, den: int, small: int = 48, pivots: int = 6):
+    def __init__(self, sets: list[np.ndarray], num: int, den: int, small: int = 48, pivots: int = 6, every: bool = False):
+        self.every = every
         self.num, self.den, self.small, self.pivots = num, den, small, pivots
         self.radius = 1 - num / den
         self.size = np.array([len(s) for s in sets])
@@ -227,6 +229,9 @@ class Region:
         return x
 
     def link(self, x: int, y: int) -> None:
+        if self.every:
+            self.links.append((x, y))
+            return
         a, b = self.find(x), self.find(y)
         if a != b:
             self.parent[max(a, b)] = min(a, b)
@@ -246,7 +251,8 @@ class Region:
         return 1 - shared / np.maximum(self.size[which] + self.size[pivot] - shared, 1)
 
     def join(self, which: np.ndarray | None = None) -> None:
-        """Finds a spanning set of the links among the sets ``which`` (all, if none)."""
+        """Finds a spanning set of the links among the sets ``which`` (all, if none); if ``every``,
+        all links, some of them in several cells."""
         which = np.arange(len(self.size)) if which is None else which
         if len(which) > self.small:
             tokens, owner = self._gather(which)
@@ -411,7 +417,7 @@ def _member_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(run, "region long, total long, class binary, grams binary")
 
 
-def _join_groups(sets: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
+def _join_groups(sets: DataFrame, keys: list[str], num: int, den: int, every: bool = False) -> DataFrame:
     """Links within each group of ``keys`` by region; a group holds several small regions."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -423,9 +429,10 @@ def _join_groups(sets: DataFrame, keys: list[str], num: int, den: int) -> DataFr
         for found in by_region.values():
             if len(found) > 1:
                 order = sorted(found)
-                joined = Region([np.frombuffer(found[x], "<u8") for x in order], num, den)
+                joined = Region([np.frombuffer(found[x], "<u8") for x in order], num, den, every=every)
                 joined.join()
-                links += [(order[a], order[b]) for a, b in joined.links]
+                pairs = {(min(x), max(x)) for x in joined.links} if every else joined.links
+                links += [(order[a], order[b]) for a, b in pairs]
         return pa.Table.from_batches([to_batch(links, LINK)])
 
     return sets.groupBy(*keys).applyInArrow(run, LINK_DDL)
@@ -484,8 +491,9 @@ def _with_totals(frame: DataFrame, size: Column) -> DataFrame:
     return frame.join(totals, "region")
 
 
-def region_links(sets: DataFrame, num: int, den: int, task_grams: int = 1_000_000) -> DataFrame:
-    """Spanning links (a, b) of classes within the regions of ``sets`` (region, total, class, grams).
+def region_links(sets: DataFrame, num: int, den: int, task_grams: int = 1_000_000, every: bool = False) -> DataFrame:
+    """Spanning links (a, b) of classes within the regions of ``sets`` (region, total, class, grams);
+    if ``every``, all links, with repeats where classes meet in several parts.
 
     ``task_grams`` bounds the n-grams that one task compares at once.  Small
     regions go to a task together.  A larger one is dealt once more by rare
@@ -499,7 +507,7 @@ def region_links(sets: DataFrame, num: int, den: int, task_grams: int = 1_000_00
         # Buckets of about a quarter of a task, and never over a task and a quarter.
         n = small.agg(F.sum(F.octet_length("grams") / 8)).first()[0] or 0
         bucket = F.pmod(F.xxhash64("region"), F.lit(max(1, int(-(-4 * n // task_grams))))).cast("int")
-        links.append(_join_groups(small.select("region", F.lit(0).alias("part"), "class", "grams", bucket.alias("bucket")), ["bucket"], num, den))
+        links.append(_join_groups(small.select("region", F.lit(0).alias("part"), "class", "grams", bucket.alias("bucket")), ["bucket"], num, den, every))
         large = sets.where(F.col("total") > task_grams)
         if large.isEmpty():
             return _union(links)
@@ -519,8 +527,8 @@ def region_links(sets: DataFrame, num: int, den: int, task_grams: int = 1_000_00
     spread = in_cells.unionAll(whole)
     fits = totals.where(F.col("grams_total") <= task_grams).select("region", "part")
     beyond = totals.where(F.col("grams_total") > task_grams)
-    links.append(_join_groups(spread.join(fits, ["region", "part"]), ["region", "part"], num, den))
-    links.append(_join_groups(_block_pairs(spread, beyond, ["region", "part"], 2 * task_grams), ["region", "part", "i", "j"], num, den))
+    links.append(_join_groups(spread.join(fits, ["region", "part"]), ["region", "part"], num, den, every))
+    links.append(_join_groups(_block_pairs(spread, beyond, ["region", "part"], 2 * task_grams), ["region", "part", "i", "j"], num, den, every))
     return _union(links)
 
 
@@ -543,9 +551,8 @@ def _with_node(frame: DataFrame) -> DataFrame:
     return frame.mapInArrow(run, f"{', '.join(c.replace(':', ' ', 1) for c in schema.split(','))}, node long")
 
 
-def join_components(docs: DataFrame, n: int, num: int, den: int, task_grams: int = 1_000_000) -> DataFrame:
-    """(doc_id, version, n_shingles, component_id) of every row: the smallest ``doc_id`` that links
-    of similarity ``num / den`` or more reach, the row's own included."""
+def _rows_and_sets(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The classes of all rows, those of rows that can link, and the sets of every region of two classes or more."""
     rows = cut(classes(docs, n))
     named = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     first = named.groupBy("class", "node", "n_shingles").agg(F.min(F.struct("doc_id", "version")).alias("r"))
@@ -554,6 +561,31 @@ def join_components(docs: DataFrame, n: int, num: int, den: int, task_grams: int
     alone = members.groupBy("region").agg(F.sum("n_shingles").cast("long").alias("total"), F.count("*").alias("_rows")).where("_rows > 1")
     members = members.join(alone, "region").select("doc_id", "version", "class", "region", "total")
     sets = cut(_member_sets(docs, members, n))
+    return rows, named, sets
+
+
+def join_links(docs: DataFrame, n: int, num: int, den: int, task_grams: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, version, n_shingles, class, n_links) of every row, and (a, b) of every pair of linked classes, once, a < b.
+
+    ``n_links`` counts the other rows at similarity ``num / den`` or more, those
+    of the row's own class included.
+    """
+    rows, named, sets = _rows_and_sets(docs, n, num, den)
+    found = region_links(sets, num, den, task_grams, every=True)
+    pairs = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sizes = named.groupBy("class").agg(F.count("*").alias("_rows"))
+    both = pairs.unionAll(pairs.select("b", "a")).toDF("class", "other")
+    beside = (both.join(sizes.select(F.col("class").alias("other"), "_rows"), "other").groupBy("class").agg(F.sum("_rows").alias("_beside")))
+    counted = (sizes.join(beside, "class", "left")
+               .select("class", (F.col("_rows") - 1 + F.coalesce("_beside", F.lit(0))).alias("_links")))
+    links = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.lit(0)).otherwise(F.col("_links")).cast("long")
+    return rows.join(counted, "class", "left").select("doc_id", "version", "n_shingles", "class", links.alias("n_links")), pairs
+
+
+def join_components(docs: DataFrame, n: int, num: int, den: int, task_grams: int = 1_000_000) -> DataFrame:
+    """(doc_id, version, n_shingles, component_id) of every row: the smallest ``doc_id`` that links
+    of similarity ``num / den`` or more reach, the row's own included."""
+    rows, named, sets = _rows_and_sets(docs, n, num, den)
     merged = components(region_links(sets, num, den, task_grams)).select(F.col("node").alias("class"), "label")
     label = F.coalesce(F.col("label"), F.col("class"))
     smallest = (named.groupBy("class").agg(F.min("doc_id").alias("least")).join(merged, "class", "left")

@@ -75,6 +75,22 @@ def test_repeated_rows_send_one_set(spark):
     assert len(sent) == 2 and {bytes(r["class"]) for r in sent} == {bytes(r["class"]) for r in rows.collect()}
 
 
+@pytest.mark.parametrize("n,num,den,task", [(3, 90, 100, 2_000_000), (2, 60, 100, 3000)])
+def test_every_link(spark, n, num, den, task):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, pairs = jaccard.join_links(docs, n, num, den, task)
+    sets = [(d, frozenset(grams(t, n))) for d, t in rows]
+    near = lambda a, b: bool(a and b) and den * len(a & b) >= num * len(a | b)
+    want = [(d, len(s), sum(j != i and near(s, o) for j, (e, o) in enumerate(sets) if e is not None) if d is not None else 0)
+            for i, (d, s) in enumerate(sets)]
+    assert sorted(str((r.doc_id, r.n_shingles, r.n_links)) for r in got.collect()) == sorted(map(str, want))
+    distinct = list({s for d, s in sets if d is not None})
+    linked = pairs.collect()
+    assert len(linked) == len(set(linked)) == sum(near(a, b) for i, a in enumerate(distinct) for b in distinct[:i])
+    assert all(r.a < r.b for r in linked)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "")], "doc_id long, text string")
     assert [tuple(r)[2:] for r in jaccard.join_components(docs, 3, 90, 100).collect()] == [(0, 1)]
