@@ -60,6 +60,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder and read from there."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 @contextmanager
 def held(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` kept in memory, spilling to disk, for the iterative fits within the block only.
