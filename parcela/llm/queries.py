@@ -8,7 +8,9 @@ from parcela.llm.jaccard import OP5_SQL, op5_jaccard_join
 from parcela.llm.line_dedup import OP1_SQL, op1_line_dedup
 from parcela.llm.line_rules import op10_line_rules
 from parcela.llm.packing import op6_packing
+from parcela.llm.product_codes import OP12_SQL, op12_product_codes
 from parcela.llm.qda import op9_qda_quality
+from parcela.llm.resample import op13_importance_resample
 from parcela.llm.tokencount import op7_token_counts
 from parcela.llm.topk import OP2_SQL, op2_topk
 from parcela.llm.warc import OP4_SQL, op4_warc
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_qda_quality": op9_qda_quality,
     "op10_line_rules": op10_line_rules,
+    "op12_product_codes": op12_product_codes,
+    "op13_importance_resample": op13_importance_resample,
 }
 
 SQL: dict[str, str] = {
@@ -31,4 +35,5 @@ SQL: dict[str, str] = {
     "op2_topk": OP2_SQL,
     "op4_warc": OP4_SQL,
     "op5_jaccard_join": OP5_SQL,
+    "op12_product_codes": OP12_SQL,
 }
