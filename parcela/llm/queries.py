@@ -8,6 +8,7 @@ from parcela.llm.jaccard import OP5_SQL, op5_jaccard_join
 from parcela.llm.line_dedup import OP1_SQL, op1_line_dedup
 from parcela.llm.line_rules import op10_line_rules
 from parcela.llm.packing import op6_packing
+from parcela.llm.pitman_yor import op11_pitman_yor
 from parcela.llm.product_codes import OP12_SQL, op12_product_codes
 from parcela.llm.qda import op9_qda_quality
 from parcela.llm.resample import op13_importance_resample
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_qda_quality": op9_qda_quality,
     "op10_line_rules": op10_line_rules,
+    "op11_pitman_yor": op11_pitman_yor,
     "op12_product_codes": op12_product_codes,
     "op13_importance_resample": op13_importance_resample,
 }
