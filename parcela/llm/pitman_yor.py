@@ -23,9 +23,9 @@ partitioning.
 
 How it runs.  Whole texts are tokenised once into blocks of about
 ``block_bytes`` with local word numbers.  Words get global numbers from a
-distributed dictionary.  A block's distinct pairs go to hash buckets as
-compressed sorted lists, so counts are added up before the shuffle and no
-context, however frequent, lies in one bucket.  Pairs met once have one
+distributed dictionary.  A block's distinct pairs go to buckets by context as
+compressed sorted lists, so counts are added up before the shuffle; a frequent
+context's pairs are dealt to more buckets.  Pairs met once have one
 table for good and stay out of the sweeps.  For scoring, the blocks get back
 the pairs' values and the words' parameters.  The driver sees counts only: buckets, words, tokens,
 root tables.
@@ -59,6 +59,8 @@ DISCOUNT = 0.5
 END = "\n"
 #: Number of the context before a text's first token; words are numbered from 1, unknown ones are -1.
 START, UNKNOWN = 0, -1
+#: Training count from which a context's pairs are dealt to a further bucket.
+SPREAD = 1 << 16
 
 
 # --- packed integers -------------------------------------------------------------
@@ -221,7 +223,7 @@ def number_words(blocks: DataFrame, shelf: Shelf) -> tuple[DataFrame, DataFrame]
     vocabulary = vocabulary.select("block", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     counted = vocabulary.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
     words = shelf.put("dictionary", numbered(counted, [F.col("word")], "id").withColumn("id", F.col("id") + 1))
-    known = vocabulary.select(F.col("block").alias("block"), "local", "word").join(words, "word").select("block", "local", "id", "c")
+    known = vocabulary.select(F.col("block").alias("block"), "local", "word").join(words.hint("shuffle_hash"), "word").select("block", "local", "id", "c")
 
     def code(block: pa.Table, found: pa.Table) -> pa.Table:
         size = block.column("size")[0].as_py()
@@ -248,23 +250,54 @@ class Block:
         before[self.first] = -1
         self.before = before                        # local number of the word before; -1 at a text's start
 
-    def pairs(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(keys by bucket and value, their training counts, bucket bounds, the tokens in known pairs, their key's place)."""
+    def _known(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the tokens whose word and context are training words, their pairs as one number each)."""
         w = self.ids[self.tokens]
         u = np.where(self.before < 0, START, self.ids[self.before])
         at = np.flatnonzero((w > 0) & (u >= 0))
-        keys, of = np.unique((u[at].astype(np.uint64) << np.uint64(32)) | w[at].astype(np.uint64), return_inverse=True)
-        n = np.bincount(of, np.repeat(self.learn, self.sizes)[at], len(keys)).astype(np.int64)
-        bucket = bucket_of(keys, buckets)
+        return at, (u[at].astype(np.uint64) << np.uint64(32)) | w[at].astype(np.uint64)
+
+    def _buckets(self, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """(order of ascending ``keys`` by bucket, bucket bounds).
+
+        A context's pairs go to one bucket, those of a frequent one to as many as its count fills.
+        """
+        u, w = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+        known = np.flatnonzero(self.ids > 0)
+        ids = np.concatenate([[START], self.ids[known]])
+        counts = np.concatenate([[self.counts[0]], self.counts[known]])     # as many texts start as end
+        by_id = np.argsort(ids)
+        c = counts[by_id][np.searchsorted(ids[by_id], u.astype(np.int64))]
+        spread = (c // SPREAD + 1).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            bucket = mixed(mixed(u) + np.where(spread > 1, mixed(w) % spread, 0).astype(np.uint64)) % np.uint64(buckets)
+        bucket = bucket.astype(np.uint16 if buckets <= 65536 else np.int64)
         order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+    def counted(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct pairs by bucket and value, their training counts, bucket bounds)."""
+        at, keys = self._known()
+        learnt, n = _distinct(np.sort(keys[np.repeat(self.learn, self.sizes)[at]]))
+        keys, _ = _distinct(np.sort(keys))
+        counts = np.zeros(len(keys), np.int64)
+        counts[np.searchsorted(keys, learnt)] = n
+        order, bounds = self._buckets(keys, buckets)
+        return keys[order], counts[order], bounds
+
+    def placed(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the tokens in known pairs, the places of their pairs in ``counted``, bucket bounds)."""
+        at, keys = self._known()
+        keys, of = np.unique(keys, return_inverse=True)
+        order, bounds = self._buckets(keys, buckets)
         place = np.empty(len(keys), np.int64)
         place[order] = np.arange(len(keys))
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        return keys[order], n[order], bounds, at, place[of]
+        return at, place[of], bounds
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(keys) % np.uint64(buckets)).astype(np.int64)
+def _distinct(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]])) if len(ascending) else np.zeros(0, np.int64)
+    return ascending[first], np.diff(np.append(first, len(ascending)))
 
 
 def messages(coded: DataFrame, buckets: int) -> DataFrame:
@@ -273,7 +306,7 @@ def messages(coded: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, n, bounds, _, _ = Block(row).pairs(buckets)
+                keys, n, bounds = Block(row).counted(buckets)
                 for b in np.flatnonzero(np.diff(bounds)).tolist():
                     mine = slice(bounds[b], bounds[b + 1])
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["block"]], pa.int64()),
@@ -295,15 +328,31 @@ def _merged(lists: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return keys[first], np.add.reduceat(n, first)
 
 
+COUNTED_DDL = "bucket int, u long, w long, c long, once long"
+
+
 def count_pairs(sent: DataFrame) -> DataFrame:
-    """(u, w, c): training count of every pair that has one."""
+    """(bucket, u, w, c, once): the training count of every pair met twice or more; and for a context
+    u (w null) and a word w (u null) how many pairs of a bucket have it, and how many of these were met once."""
+
+    def ends(values: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        some, of, n = np.unique(values, return_inverse=True, return_counts=True)
+        return some.astype(np.int64), n, np.bincount(of, single, len(some)).astype(np.int64)
 
     def run(group: pa.Table) -> pa.Table:
         keys, c = _merged([_keys(k) for k in group.column("keys").to_pylist()], [unpack(n) for n in group.column("n").to_pylist()])
         keys, c = keys[c > 0], c[c > 0]
-        return pa.table({"u": pa.array((keys >> np.uint64(32)).astype(np.int64)), "w": pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), "c": pa.array(c)})
+        u, w = (keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        many = c > 1
+        contexts, words = ends(u, ~many), ends(w, ~many)
+        sizes = [int(many.sum()), len(contexts[0]), len(words[0])]
+        nulls = [pa.nulls(n, pa.int64()) for n in sizes]
+        column = lambda a, b, d: pa.chunked_array([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in (a, b, d)])
+        return pa.table({"bucket": pa.array(np.full(sum(sizes), group.column("bucket")[0].as_py()), pa.int32()),
+                         "u": column(u[many], contexts[0], nulls[2]), "w": column(w[many], nulls[1], words[0]),
+                         "c": column(c[many], contexts[1], words[1]), "once": column(nulls[0], contexts[2], words[2])})
 
-    return sent.groupBy("bucket").applyInArrow(run, "u long, w long, c long")
+    return sent.groupBy("bucket").applyInArrow(run, COUNTED_DDL)
 
 
 # --- sampling ----------------------------------------------------------------------
@@ -324,7 +373,7 @@ def _arrow_draw(frame: DataFrame, columns: list[str], strength: float, sweep: in
 
 @dataclass
 class PitmanYor:
-    """Sampled state: pair values (u, w, m), word parameters (id, l0.., p0..), and numbers."""
+    """Sampled state: pair values (bucket, u, w, m), word parameters (id, l0.., p0..), and numbers."""
 
     pairs: DataFrame
     words: DataFrame
@@ -351,7 +400,7 @@ def _seat_root(words: DataFrame, shelf: Shelf, name: str, tables: int, strength:
 
 
 def learn(docs: DataFrame, strength: float = 2.0, root_strength: float = 2.0, burn: int = 1, samples: int = 2,
-          block_bytes: int = 24 << 20, bucket_pairs: int = 1_000_000) -> PitmanYor:
+          block_bytes: int = 12 << 20, bucket_pairs: int = 1_000_000) -> PitmanYor:
     """Counts of all training texts and ``burn`` + ``samples`` sweeps; the texts stay at hand, coded, for ``score``."""
     spark = docs.sparkSession
     ship(spark)
@@ -365,31 +414,33 @@ def learn(docs: DataFrame, strength: float = 2.0, root_strength: float = 2.0, bu
     spread = coded.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first().n or 0
     buckets = max(1, -(-spread // bucket_pairs))
 
-    pairs = shelf.put("pairs", count_pairs(messages(coded, buckets)))
-    once = F.count_if(F.col("c") == 1)
-    contexts = pairs.groupBy(F.col("u").alias("id")).agg(once.alias("s_ctx"), F.count(F.lit(1)).alias("tables"))
-    followers = pairs.groupBy(F.col("w").alias("id")).agg(once.alias("s_wrd"), F.count(F.lit(1)).alias("c1"))
+    counted = shelf.put("counted", count_pairs(messages(coded, buckets)))
+    contexts = counted.where("w IS NULL").groupBy(F.col("u").alias("id")).agg(F.sum("once").alias("s_ctx"), F.sum("c").alias("tables"))
+    followers = counted.where("u IS NULL").groupBy(F.col("w").alias("id")).agg(F.sum("once").alias("s_wrd"), F.sum("c").alias("c1"))
     state = words.select("id", "c").unionByName(spark.range(1).select(F.lit(START).cast("long").alias("id"), F.lit(texts).cast("long").alias("c")))
-    state = state.join(contexts, "id", "left").join(followers, "id", "left").na.fill(0)
+    state = state.join(contexts.hint("shuffle_hash"), "id", "left").join(followers.hint("shuffle_hash"), "id", "left").na.fill(0)
     state = shelf.put("state", state.withColumn("t1", F.when(F.col("c1") > 0, 1).otherwise(0).cast("long")))
-    many = shelf.put("many", pairs.where("c > 1").select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("t_sum")))
-    shelf.drop("pairs", "dictionary")
+    many = (counted.where("u IS NOT NULL AND w IS NOT NULL")
+            .select("bucket", "u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("t_sum")))
+    shelf.drop("dictionary")
 
     base = 1 / (n_words + 1)
     now, tables, unknown = _seat_root(state, shelf, "state0", n_words, root_strength, base, 0)
     shelf.drop("state")
     old, kept, start, unknowns = "state0_drawn", [], [], []
     for sweep in range(1, burn + samples + 1):
-        looked = (many.join(now.select(F.col("id").alias("u"), F.col("tables").alias("total")), "u")
-                  .join(now.select(F.col("id").alias("w"), "p"), "w"))
-        drawn = _arrow_draw(looked, ["u", "w", "c", "t", "total", "p"], strength, sweep, ["u", "w", "c", "t_sum"])
+        # One row a word on the hashed side: it grows with the vocabulary over the partitions, not with hot pairs.
+        looked = (many.join(now.select(F.col("id").alias("u"), F.col("tables").alias("total")).hint("shuffle_hash"), "u")
+                  .join(now.select(F.col("id").alias("w"), "p").hint("shuffle_hash"), "w"))
+        drawn = _arrow_draw(looked, ["u", "w", "c", "t", "total", "p"], strength, sweep, ["bucket", "u", "w", "c", "t_sum"])
         if sweep > burn:
             drawn = drawn.withColumn("t_sum", F.col("t_sum") + F.col("t"))
         many = shelf.put(f"many{sweep}", drawn)
-        shelf.drop("many" if sweep == 1 else f"many{sweep - 1}")
+        shelf.drop("counted" if sweep == 1 else f"many{sweep - 1}")
         by_context = many.groupBy(F.col("u").alias("id")).agg(F.sum("t").alias("t_ctx"))
         by_word = many.groupBy(F.col("w").alias("id")).agg(F.sum("t").alias("t_wrd"))
-        state = (now.select("id", "c", "s_ctx", "s_wrd", "t1").join(by_context, "id", "left").join(by_word, "id", "left").na.fill(0)
+        state = (now.select("id", "c", "s_ctx", "s_wrd", "t1").join(by_context.hint("shuffle_hash"), "id", "left")
+                 .join(by_word.hint("shuffle_hash"), "id", "left").na.fill(0)
                  .withColumns({"tables": F.col("s_ctx") + F.col("t_ctx"), "c1": F.col("s_wrd") + F.col("t_wrd")}))
         now, tables, unknown = _seat_root(state, shelf, f"state{sweep}", tables, root_strength, base, sweep)
         if sweep <= burn + 1:
@@ -401,8 +452,8 @@ def learn(docs: DataFrame, strength: float = 2.0, root_strength: float = 2.0, bu
             unknowns.append(unknown)
     params = kept[0]
     for more in kept[1:]:
-        params = params.join(more, "id")
-    means = many.select("u", "w", (F.col("c") - DISCOUNT * F.col("t_sum") / samples).alias("m"))
+        params = params.join(more.hint("shuffle_hash"), "id")
+    means = many.select("bucket", "u", "w", (F.col("c") - DISCOUNT * F.col("t_sum") / samples).alias("m"))
     return PitmanYor(means, params, coded, buckets, n_tokens, n_words, texts, strength, start, unknowns)
 
 
@@ -410,25 +461,18 @@ def learn(docs: DataFrame, strength: float = 2.0, root_strength: float = 2.0, bu
 
 def _replies(model: PitmanYor) -> DataFrame:
     """(block, bucket, m): discounted counts of each message's pairs, in its order; 0 for pairs never met in training."""
-    buckets = model.buckets
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = (batch.column("u").to_numpy().astype(np.uint64) << np.uint64(32)) | batch.column("w").to_numpy().astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(key, buckets).astype(np.int32)), pa.array(key.view(np.int64)), batch.column("m")], ["bucket", "key", "m"])
-
     def answer(sent: pa.Table, found: pa.Table) -> pa.Table:
         if not sent.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "m": pa.array([], pa.binary())})
         lists = [_keys(k) for k in sent.column("keys").to_pylist()]
         keys, c = _merged(lists, [unpack(n) for n in sent.column("n").to_pylist()])
         m = np.where(c == 1, 1 - DISCOUNT, 0.0)
-        m[np.searchsorted(keys, found.column("key").to_numpy().view(np.uint64))] = found.column("m").to_numpy()
+        key = (found.column("u").to_numpy().astype(np.uint64) << np.uint64(32)) | found.column("w").to_numpy().astype(np.uint64)
+        m[np.searchsorted(keys, key)] = found.column("m").to_numpy()
         return pa.table({"block": sent.column("block"), "bucket": sent.column("bucket"),
                          "m": pa.array([pack(m[np.searchsorted(keys, k)]) for k in lists], pa.binary())})
 
-    found = model.pairs.mapInArrow(place, "bucket int, key long, m double")
-    return messages(model.coded, buckets).groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(answer, "block long, bucket int, m binary")
+    return messages(model.coded, model.buckets).groupBy("bucket").cogroup(model.pairs.groupBy("bucket")).applyInArrow(answer, "block long, bucket int, m binary")
 
 
 def score(model: PitmanYor) -> DataFrame:
@@ -447,7 +491,7 @@ def score(model: PitmanYor) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         b = Block(row)
-        _, _, bounds, at, place = b.pairs(buckets)
+        at, place, bounds = b.placed(buckets)
         values = np.zeros(int(bounds[-1]))
         for reply in row["replies"] or []:
             values[bounds[reply["bucket"]]:bounds[reply["bucket"] + 1]] = unpack(reply["m"], np.float64)
@@ -468,7 +512,7 @@ def score(model: PitmanYor) -> DataFrame:
 
     answers = _replies(model).groupBy("block").agg(F.collect_list(F.struct("bucket", "m")).alias("replies"))
     whole = model.coded.join(answers, "block", "left")
-    local_params = model.coded.select("block", "ids").mapInArrow(local, "block long, local int, id long").join(model.words, "id").select("block", "local", *params)
+    local_params = model.coded.select("block", "ids").mapInArrow(local, "block long, local int, id long").join(model.words.hint("shuffle_hash"), "id").select("block", "local", *params)
     out = whole.groupBy("block").cogroup(local_params.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
