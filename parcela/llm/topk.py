@@ -7,15 +7,17 @@ its home shard best-first, the node with the largest possible inner product
 first.  The k-th score found there goes along to the other shards: a shard
 whose box cannot reach it is not visited, and visited trees start from it.
 
-Of equal vectors only the k + 1 smallest ids can ever be in a result, so a
-vector that a third of all rows hold costs no more than k + 1 rows; equal
-queries are searched once.  Queries meet a shard in blocks of bounded size.
+Of equal vectors only k rows an id, and of these the 2k with the smallest
+ids, can ever be in a result, so a vector that a third of all rows hold costs
+no more than 2k rows; equal queries are searched once, but for those whose id
+other rows repeat: their search leaves out the rows of that id.  Queries meet a shard in blocks of bounded size.
 The search is exact; the sample decides only where shards are cut.
 
 Defined cases: rows with a null id, a null vector or a null or non-finite
 component take no part; vectors are compared with those of their own length
-(the empty vector scores 0 with other empty ones); of rows that repeat an id,
-the one with the smallest vector bytes counts; scores beyond the range of a
+(the empty vector scores 0 with other empty ones); rows that repeat an id
+are all candidates of other ids, a candidate once for each, and the results of their queries are
+ranked together; scores beyond the range of a
 long are cut to it before they are ordered; an empty table gives an empty result; other columns are
 left out.
 """
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 from parcela.llm.common import cut, table
 
 FOUND = pa.schema([("kind", pa.int8()), ("vkey", pa.binary()), ("shard", pa.int64()), ("vec", pa.binary()), ("score", pa.int64()),
-                   ("vec_id", pa.int64())])
-FOUND_DDL = "kind tinyint, vkey binary, shard long, vec binary, score long, vec_id long"
+                   ("vec_id", pa.int64()), ("own", pa.int64())])
+FOUND_DDL = "kind tinyint, vkey binary, shard long, vec binary, score long, vec_id long, own long"
 HIT, ASK, BOX = 0, 1, 2
 EXACT = float(1 << 53)
 LONG = (1 << 63) - 1
@@ -122,8 +124,8 @@ class KDTree:
         self.low, self.high = np.array(low), np.array(high)
         self.largest = float(np.abs(points).max(initial=0))
 
-    def search(self, q: np.ndarray, k: int, bound: int | None = None) -> list[tuple[int, int]]:
-        """The k best (score, id) with score at least ``bound``; ties go to smaller ids."""
+    def search(self, q: np.ndarray, k: int, bound: int | None = None, own: int | None = None) -> list[tuple[int, int]]:
+        """The k best (score, id) with score at least ``bound`` and another id than ``own``; ties go to smaller ids."""
         exact = self.largest * float(np.abs(q).max(initial=0)) * max(1, len(q)) < EXACT
         if exact:
             limit = self.high @ np.maximum(q, 0) + self.low @ np.minimum(q, 0)
@@ -142,9 +144,12 @@ class KDTree:
                         heapq.heappush(heap, (-limit[kid], kid))
                 continue
             a, z = self.span[node]
-            ids = self.ids[a:z]
+            ids, points = self.ids[a:z], self.points[a:z]
+            if own is not None:
+                others = ids != own
+                ids, points = ids[others], points[others]
             if exact:
-                scores = self.points[a:z] @ q
+                scores = points @ q
                 if bound is not None:
                     good = np.flatnonzero(scores >= bound)
                     ids, scores = ids[good], scores[good]
@@ -153,7 +158,7 @@ class KDTree:
                 found = zip(scores.astype(np.int64).tolist(), ids.tolist())
             else:
                 whole = [int(x) for x in q]
-                found = [(_clip(sum(int(x) * y for x, y in zip(p, whole))), i) for p, i in zip(self.points[a:z], ids.tolist())]
+                found = [(_clip(sum(int(x) * y for x, y in zip(p, whole))), i) for p, i in zip(points, ids.tolist())]
             best = sorted([*best, *found], key=lambda x: (-x[0], x[1]))[:k]
             if len(best) == k:
                 bound = best[-1][0]
@@ -169,11 +174,11 @@ def _clip(score: int) -> int:
     return max(-LONG - 1, min(LONG, score))
 
 
-def _answers(tree: KDTree, asks: list[tuple[bytes, bytes, int | None]], k: int) -> list[tuple]:
-    """HIT rows of the queries (vkey, vec, bound)."""
+def _answers(tree: KDTree, asks: list[tuple[bytes, bytes, int | None, int | None]], k: int) -> list[tuple]:
+    """HIT rows of the queries (vkey, vec, bound, own)."""
     rows = []
-    for vkey, vec, bound in asks:
-        rows += [(HIT, vkey, None, None, _clip(s), i) for s, i in tree.search(np.frombuffer(vec, "<f8"), k, bound)]
+    for vkey, vec, bound, own in asks:
+        rows += [(HIT, vkey, None, None, _clip(s), i, own) for s, i in tree.search(np.frombuffer(vec, "<f8"), k, bound, own)]
     return rows
 
 
@@ -186,7 +191,7 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 def quantise(embeddings: DataFrame) -> DataFrame:
     """(vec_id, vec, vkey): floor(256 x) of each usable vector as little-endian doubles, which
-    hold it exactly, and a 128-bit key of these bytes.  One row an id."""
+    hold it exactly, and a 128-bit key of these bytes."""
     schema = pa.schema([("vec_id", pa.int64()), ("vec", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +207,7 @@ def quantise(embeddings: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary())], schema=schema)
 
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    one = rows.mapInArrow(run, "vec_id long, vec binary").groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    return one.withColumn("vkey", F.unhex(F.md5("vec")))
+    return rows.mapInArrow(run, "vec_id long, vec binary").withColumn("vkey", F.unhex(F.md5("vec")))
 
 
 def shard_trees(sample: list[bytes], rows_of_length: dict[int, int], shard_rows: int, max_shards: int) -> dict[int, Splits]:
@@ -242,15 +246,21 @@ def top_k(embeddings: DataFrame, k: int = 5, query_step: int = 50, shard_rows: i
     """
     rows = cut(quantise(embeddings))
     smallest = Window.partitionBy("vkey").orderBy("vec_id")
-    points = cut(rows.withColumn("_n", F.row_number().over(smallest)).where(F.col("_n") <= k + 1).drop("_n"))
-    queries = rows.where(F.col("vec_id") % query_step == 0)
+    alike = rows.groupBy("vkey", "vec", "vec_id").agg(F.count(F.lit(1)).alias("_n"))
+    alike = alike.select("vkey", "vec", "vec_id", F.explode(F.sequence(F.lit(1), F.least("_n", F.lit(k)).cast("int"))).alias("_copy"))
+    points = cut(alike.withColumn("_n", F.row_number().over(smallest)).where(F.col("_n") <= 2 * k).select("vec_id", "vec", "vkey"))
+    asking = rows.where(F.col("vec_id") % query_step == 0)
+    repeated = asking.groupBy("vec_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("vec_id").alias("own"))
+    # A row whose id other rows repeat searches on its own; the others drop their one row from the k + 1 best.
+    queries = asking.join(repeated, asking.vec_id == F.col("own"), "left")
     # At most sample_rows vectors, and one count for each vector length.
     sample = [bytes(r.vec) for r in points.where("vec_id IS NOT NULL").orderBy(F.xxhash64("vec"), "vec_id").limit(sample_rows).select("vec").collect()]
     lengths = {r["n"]: r["rows"] for r in points.groupBy(F.octet_length("vec").alias("n")).agg(F.count("*").alias("rows")).collect()}
     trees = shard_trees(sample, lengths, shard_rows, max_shards)
 
-    asked = queries.select("vkey", "vec").distinct().withColumn("vec_id", F.lit(None).cast("long")).select("vec_id", "vec", "vkey")
-    dealt = cut(_deal(points.select("vec_id", "vec", "vkey").unionAll(asked), trees))
+    nothing = F.lit(None).cast("long")
+    asked = queries.select("vkey", "vec", "own").distinct().select(nothing.alias("vec_id"), "vec", "vkey", "own")
+    dealt = cut(_deal(points.select("vec_id", "vec", "vkey", nothing.alias("own")).unionAll(asked), trees))
 
     def home(group: pa.Table) -> pa.Table:
         is_point = group.column("vec_id").is_valid()
@@ -258,11 +268,11 @@ def top_k(embeddings: DataFrame, k: int = 5, query_step: int = 50, shard_rows: i
         tree = KDTree(_points(mine.column("vec")), mine.column("vec_id").to_numpy())
         asks = group.filter(pa.compute.invert(is_point))
         shard = group.column("shard")[0].as_py()
-        rows = [(BOX, None, shard, tree.low[0].tobytes() + tree.high[0].tobytes(), None, None)]
-        for vkey, vec in zip(asks.column("vkey").to_pylist(), asks.column("vec").to_pylist()):
-            hits = _answers(tree, [(vkey, vec, None)], k + 1)
+        rows = [(BOX, None, shard, tree.low[0].tobytes() + tree.high[0].tobytes(), None, None, None)] if mine.num_rows else []
+        for vkey, vec, own in zip(*(asks.column(c).to_pylist() for c in ("vkey", "vec", "own"))):
+            hits = _answers(tree, [(vkey, vec, None, own)], k + 1)
             rows += hits
-            rows.append((ASK, vkey, shard, vec, hits[-1][4] if len(hits) > k else None, None))
+            rows.append((ASK, vkey, shard, vec, hits[-1][4] if len(hits) > k else None, None, own))
         return _table(rows)
 
     near = cut(dealt.groupBy("shard").applyInArrow(home, FOUND_DDL))
@@ -276,13 +286,13 @@ def top_k(embeddings: DataFrame, k: int = 5, query_step: int = 50, shard_rows: i
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for vkey, shard, vec, bound in zip(*(batch.column(c).to_pylist() for c in ("vkey", "shard", "vec", "score"))):
+            for vkey, shard, vec, bound, own in zip(*(batch.column(c).to_pylist() for c in ("vkey", "shard", "vec", "score", "own"))):
                 shards, low, high = boxes[len(vec)]
                 q = np.frombuffer(vec, "<f8")
                 reach = high @ np.maximum(q, 0) + low @ np.minimum(q, 0)
                 slack = 1e-9 * (np.abs(high) @ np.abs(q) + np.abs(low) @ np.abs(q))
                 go = shards if bound is None else shards[reach + slack >= bound]
-                rows += [(ASK, vkey, s, vec, bound, None) for s in go.tolist() if s != shard]
+                rows += [(ASK, vkey, s, vec, bound, None, own) for s in go.tolist() if s != shard]
             yield from _table(rows).to_batches()
 
     sent = cut(near.where(f"kind = {ASK}").mapInArrow(route, FOUND_DDL))
@@ -296,14 +306,15 @@ def top_k(embeddings: DataFrame, k: int = 5, query_step: int = 50, shard_rows: i
         if not left.num_rows or not right.num_rows:
             return _table([])
         tree = KDTree(_points(left.column("vec")), left.column("vec_id").to_numpy())
-        asks = zip(*(right.column(c).to_pylist() for c in ("vkey", "vec", "score")))
+        asks = zip(*(right.column(c).to_pylist() for c in ("vkey", "vec", "score", "own")))
         return _table(_answers(tree, list(asks), k + 1))
 
     far = spread.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(visit, FOUND_DDL)
-    best = Window.partitionBy("vkey").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("vkey", "own").orderBy(F.desc("score"), "vec_id")
     hits = (near.where(f"kind = {HIT}").unionAll(far).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1)
-            .select("vkey", "score", "vec_id"))
-    pairs = (queries.select(F.col("vec_id").alias("query_id"), "vkey").join(hits, "vkey").where("query_id <> vec_id"))
+            .select("vkey", F.col("own").alias("_own"), "score", "vec_id"))
+    pairs = (queries.select(F.col("vec_id").alias("query_id"), "vkey", "own").join(hits, "vkey")
+             .where(F.col("own").eqNullSafe(F.col("_own")) & (F.col("query_id") != F.col("vec_id"))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -10,20 +11,15 @@ from parcela.llm import topk
 
 
 def brute(rows, k=5, step=50):
-    use = {}
+    use = []
     for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        q = tuple(math.floor(256 * x) for x in v)
-        b = np.array(q, "<f8").tobytes()
-        if i not in use or b < use[i][1]:
-            use[i] = (q, b)
-    out = []
-    for i, (q, _) in use.items():
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            use.append((i, tuple(math.floor(256 * x) for x in v)))
+    found = {}
+    for i, q in use:
         if i % step == 0:
-            s = sorted((-max(-topk.LONG - 1, min(topk.LONG, sum(a * b for a, b in zip(q, p)))), j) for j, (p, _) in use.items() if j != i and len(p) == len(q))
-            out += [(i, r, j, -x) for r, (x, j) in enumerate(s[:k], 1)]
-    return sorted(out)
+            found.setdefault(i, []).extend((-max(-topk.LONG - 1, min(topk.LONG, sum(a * b for a, b in zip(q, p)))), j) for j, p in use if j != i and len(p) == len(q))
+    return sorted((i, r, j, -x) for i, s in found.items() for r, (x, j) in enumerate(sorted(s)[:k], 1))
 
 
 def rows_of(frame):
@@ -66,3 +62,14 @@ def test_tree_is_exact_and_prunes():
         assert tree.search(q, 6, bound=-want[2][0]) == [(-x, i) for x, i in want if -x >= -want[2][0]]
     for (a, z), low, high in zip(tree.span, tree.low, tree.high):
         assert (tree.points[a:z].min(0) == low).all() and (tree.points[a:z].max(0) == high).all()
+
+
+def test_repeated_ids_agree_with_sql(spark, tmp_path):
+    rng = random.Random(2)
+    vec = lambda: [rng.gauss(0, 0.3) for _ in range(4)]
+    rows = [(50, [0.5] * 4), (1, [0.1] * 4), (1, [0.9] * 4), (2, [0.2] * 4)]
+    rows += [(rng.choice([0, 1, 2, 50, 50, 100, 7]), rng.choice([[0.5] * 4, vec()])) for _ in range(120)]
+    df = frame(spark, rows)
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = duckdb.sql(topk.OP2_SQL.replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
+    assert rows_of(topk.top_k(df, shard_rows=20, block_rows=3)) == sorted(want) == brute(rows)
