@@ -4,7 +4,9 @@ Each document becomes its ids plus one end id.  Whole windows are cut off
 first; the rest of a document goes to the smallest context-size tier that
 holds it.  Every tier is packed by first-fit in decreasing order; gaps of the
 longer windows are filled from shorter tiers, whole pieces first and at last
-a piece cut to the gap.  What a task has left at its end is laid end to end
+a piece cut to the gap.  Windows that are still open are closed, fullest first,
+with pieces of the emptiest ones of their tier, so that a flush leaves less than a
+window a tier, whatever the documents' lengths.  What a task has left at its end is laid end to end
 and cut at powers of two, which need no padding.  Sequences of a flush are
 dealt to step groups so that the groups' attention costs are alike.
 
@@ -75,7 +77,7 @@ class Packer:
         return (k, start, doc_id, total, ids[:4 * k]), (n - k, start + k, doc_id, total, ids[4 * k:])
 
     def pack(self) -> None:
-        """Packs the pools; windows that stay open give their pieces back."""
+        """Packs the pools; less than one window a tier stays unpacked."""
         order = lambda p: (p[0], p[1], -1 if p[2] is None else p[2])
         pools = {t: sorted(p, key=order) for t, p in self.pools.items()}
         self.pools = {t: [] for t in self.tiers}
@@ -94,6 +96,7 @@ class Packer:
                 if windows[w][0]:
                     insort(gaps, (windows[w][0], w))
             pools[tier] = []
+            unfilled: list[tuple[int, list[tuple]]] = []
             for gap, pieces in windows:
                 for lower in range(at - 1, -1, -1):          # whole pieces of shorter tiers, longest first
                     pool = pools[self.tiers[lower]]
@@ -107,26 +110,40 @@ class Packer:
                     gap = 0
                     insort(pools[next(t for t in self.tiers if t >= rest[0])], rest, key=order)
                 if gap:
-                    for p in pieces:
-                        self._pool(p)
+                    unfilled.append((gap, pieces))
                 else:
                     self.full.append((tier, pieces))
+            # Close as many windows as the tokens allow, fullest first; the emptiest ones are cut up for it.
+            unfilled.sort(key=lambda w: w[0])
+            closing = sum(tier - gap for gap, _ in unfilled) // tier
+            spare = [p for _, pieces in unfilled[closing:] for p in pieces]
+            for gap, pieces in unfilled[:closing]:
+                while gap:
+                    piece = spare.pop()
+                    if piece[0] > gap:
+                        piece, more = self._split(piece, gap)
+                        spare.append(more)
+                    pieces.append(piece)
+                    gap -= piece[0]
+                self.full.append((tier, pieces))
+            for piece in spare:                              # less than one window of the tier
+                self._pool(piece)
 
     def flush(self, last: bool = False) -> list[tuple]:
         """Rows of all complete sequences; at the last flush also of what is left, cut at powers of two."""
         self.pack()
         if last:
-            rest = [p for t in reversed(self.tiers) for p in self.pools[t]]
+            rest = [p for t in self.tiers for p in reversed(self.pools[t])]
             self.pools = {t: [] for t in self.tiers}
             left = sum(p[0] for p in rest)
             while left:
                 size = min(self.window, 1 << (left.bit_length() - 1))
                 pieces, gap = [], size
                 while gap:
-                    piece = rest.pop(0)
+                    piece = rest.pop()
                     if piece[0] > gap:
                         piece, more = self._split(piece, gap)
-                        rest.insert(0, more)
+                        rest.append(more)
                     pieces.append(piece)
                     gap -= piece[0]
                 self.full.append((size, pieces))

@@ -149,3 +149,20 @@ def test_packing_rows(docs):
     assert packing.pack(docs).where("doc_id = 4 and start = 0").count() == 2
     empty = docs.limit(0)
     assert packing.pack(empty).count() == tokencount.count_tokens(empty).count() == bpe.encode(empty).count() == 0
+
+
+@pytest.mark.parametrize("low,high", [(150, 150), (130, 255), (300, 500), (1100, 1999), (1, 3)])
+def test_no_pool_starves(low, high):
+    """Lengths of which no whole number fills a window: every flush packs nearly all, in linear time."""
+    rng = random.Random(low)
+    packer, docs_, rows, flushes = packing.Packer(1, flush_windows=8), {}, [], 0
+    for i in range(20_000 if high < 1000 else 2_000):
+        docs_[i] = [i % 1000] * rng.randint(low, high)
+        packer.add(i, b"".join(x.to_bytes(4, "little") for x in docs_[i]))
+        if packer.held >= packer.flush_at:
+            rows += packer.flush()
+            flushes += 1
+            assert packer.held < sum(packing.TIERS)
+    rows = [dict(zip(packing.SCHEMA.names, r)) for r in rows + packer.flush(last=True)]
+    assert check_packing(rows, docs_) == 0
+    assert flushes <= sum(map(len, docs_.values())) // (packer.flush_at - sum(packing.TIERS)) + 1
