@@ -14,10 +14,11 @@ SF = "/root/testdata/sf0.001"
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    seen = []
+    seen, kept_frames = [], []
     for name, stage in pipeline.STAGES:
         before = {r.doc_id: r for r in docs.collect()}
         docs = stage(spark, docs, SF).persist()
+        kept_frames.append(docs)
         after = docs.collect()
         seen.append(len(after))
         if name != "packing":
@@ -54,6 +55,8 @@ def test_stages(spark):
             lib = FragmentEncoder("word_bpe_49k.json").library
             assert check_packing([r.asDict() for r in after], {d: lib.encode(r.text, add_special_tokens=False).ids + [1] for d, r in before.items()}) == 0
     assert seen[3] > 50
+    for frame in kept_frames:
+        frame.unpersist()
 
 
 def test_run_and_edges(spark):
