@@ -53,14 +53,15 @@ def feature_stages(numeric: list[str] = NUMERIC_FEATURES, flags: list[str] = FLA
 
     Labels are counted over all rows.  A row with a null or NaN number cannot be
     assembled and is left out from there on; ``scorable`` tells such rows, so that
-    predictions keep them and reports count them.
+    predictions keep them and reports count them.  The scaler divides only: centring
+    would make every vector dense and is one constant of a linear model's intercept.
     """
     stages = indexers(categorical) + encoders(categorical)
     stages.append(VectorAssembler(inputCols=flags + numeric + [c + "_vec" for c in categorical],
                                   outputCol="features", handleInvalid=handle_invalid))
     if scale:
         stages.append(StandardScaler(inputCol="features", outputCol="scaled_features",
-                                     withMean=True, withStd=True))
+                                     withMean=False, withStd=True))
     return stages
 
 

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcela.functions.text import billions, one_decimal, price_text, total_price
-from parcela.operators import estimate, evaluate, features, impute, market, models, profile, score
+from parcela.operators import boosting, dictionary, estimate, evaluate, features, gram, impute, market, models, profile, score
 from parcela.operators.clean import clean
 from parcela.operators.joins import scalar_row
-from parcela.schema import AREA, CATEGORICAL_FEATURES, IMPUTE_COLUMNS, PRICE, STREET
-from parcela.session import ensure_checkpoint_dir, held
+from parcela.schema import AREA, CATEGORICAL_FEATURES, FLAG_COLUMNS, IMPUTE_COLUMNS, NUMERIC_FEATURES, PRICE, STREET
+from parcela.session import checkpointed, ensure_checkpoint_dir, held
 from parcela.sources import io
 from parcela.sources.fixtures import raw_listings
 
@@ -189,53 +189,25 @@ def _split(spark, sf_dir):
     return features.train_test_split(model_table_of(spark, sf_dir))
 
 
-def _labels_long(df: DataFrame, value_suffix: str) -> DataFrame:
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("label"),
-                     F.col(c + value_suffix).alias("value")) for c in CATEGORICAL_FEATURES]
-    return df.select(F.inline(F.array(*rows)))
-
-
 @register("label_index")
 def q_label_index(spark, sf_dir):
-    from pyspark.ml import Pipeline
-    model = model_table_of(spark, sf_dir)
-    train, _ = features.train_test_split(model)
-    fitted = Pipeline(stages=features.indexers()).fit(train)
-    out = _labels_long(fitted.transform(model), "_idx")
-    return (out.groupBy("column_name", "label", F.col("value").alias("label_index"))
-               .agg(F.count(F.lit(1)).alias("listings")))
+    """K1: the training labels' dictionary, applied to all rows."""
+    out = dictionary.indexed_labels(model_table_of(spark, sf_dir), features.split_bucket() >= 20)
+    return out.select("column_name", "label", F.col("label_index").cast("double").alias("label_index"), "listings")
 
 
 @register("one_hot")
 def q_one_hot(spark, sf_dir):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-    model = model_table_of(spark, sf_dir)
-    train, _ = features.train_test_split(model)
-    fitted = Pipeline(stages=features.indexers() + features.encoders()).fit(train)
-    t = fitted.transform(model)
-    t = t.select(*CATEGORICAL_FEATURES, *[F.struct(
-        F.col(c + "_idx").alias("idx"),
-        F.size(vector_to_array(c + "_vec")).alias("size"),
-        (F.array_position(vector_to_array(c + "_vec"), F.lit(1.0)) - 1).alias("pos")).alias(c + "_oh")
-        for c in CATEGORICAL_FEATURES])
-    out = _labels_long(t, "_oh")
-    return (out.groupBy("column_name", "label", F.col("value.idx").alias("label_index"),
-                        F.col("value.size").cast("bigint").alias("vec_size"),
-                        F.col("value.pos").cast("bigint").alias("hot_pos"))
-               .agg(F.count(F.lit(1)).alias("listings")))
+    """K2: vector size and hot slot of each label."""
+    out = dictionary.indexed_labels(model_table_of(spark, sf_dir), features.split_bucket() >= 20)
+    return out.select("column_name", "label", F.col("label_index").cast("double").alias("label_index"), "vec_size", "hot_pos", "listings")
 
 
 @register("standardize")
 def q_standardize(spark, sf_dir):
-    from pyspark.ml.functions import vector_to_array
+    """K4: mean and deviation of every slot, from counts: no vector is made."""
     train, _ = _split(spark, sf_dir)
-    with held(train) as rows:
-        scaler = features.feature_pipeline().fit(rows).stages[-1]
-    # The model is two vectors; they are laid out in rows on the executors.
-    model = spark.createDataFrame([(scaler.mean, scaler.std)], ["mean", "std"])
-    slots = model.select(F.posexplode(F.arrays_zip(vector_to_array("mean").alias("mean"), vector_to_array("std").alias("std"))))
-    return slots.select(F.col("pos").alias("feature_index"), F.round("col.mean", 6).alias("mean"), F.round("col.std", 6).alias("std"))
+    return dictionary.moments(train).select("feature_index", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @register("impute_medians_approx")
@@ -401,6 +373,53 @@ def q_saved_model(spark, sf_dir):
     return p.groupBy(*IMPUTE_COLUMNS).agg(F.count(F.lit(1)).alias("rows"), F.round(F.max("prediction_tree"), 8).alias("prediction")).select("*", *medians)
 
 
+@register("linear_full")
+def q_linear_full(spark, sf_dir):
+    """All coefficients of the full feature model, from its Gram matrix."""
+    train, _ = _split(spark, sf_dir)
+    numbers = [*FLAG_COLUMNS, *NUMERIC_FEATURES]
+    with held(train.select(*[F.col(f"`{c}`") for c in [*numbers, *CATEGORICAL_FEATURES, models.LABEL]])) as rows:
+        labels = dictionary.label_dictionary(rows)
+        size = 1 + len(numbers) + sum(dictionary.label_counts(labels).values())
+        state = checkpointed(gram.gram_with_labels(rows, numbers, CATEGORICAL_FEATURES, labels, models.LABEL))
+    return gram.solve(state, size).select("n", "feature", F.round("coefficient", 6).alias("coefficient"))
+
+
+@register("linear_by_city")
+def q_linear_by_city(spark, sf_dir):
+    """One regression a city on the numbers, all solved side by side."""
+    train, _ = _split(spark, sf_dir)
+    state = gram.gram(train, NUMERIC_FEATURES, models.LABEL, ["city_province"])
+    return gram.solve(state, 1 + len(NUMERIC_FEATURES)).select("city_province", "n", "feature", F.round("coefficient", 6).alias("coefficient"))
+
+
+BOOSTED_ROUNDS = 20
+
+
+def _boosted_stumps(train: DataFrame) -> boosting.Boosted:
+    """Stumps over the four counts, whose splits are exact: few distinct values."""
+    return boosting.fit(train, models.LABEL, IMPUTE_COLUMNS, rounds=BOOSTED_ROUNDS, depth=1)
+
+
+@register("boosted_stumps")
+def q_boosted_stumps(spark, sf_dir):
+    """K13 by histograms: 20 rounds; predictions of each kind of test row."""
+    train, test = _split(spark, sf_dir)
+    p = _boosted_stumps(train).predict(test)
+    return p.where(features.scorable(IMPUTE_COLUMNS)).groupBy(*IMPUTE_COLUMNS).agg(F.count(F.lit(1)).alias("rows"), F.round(F.max("prediction"), 8).alias("prediction"))
+
+
+@register("boosted_stumps_score")
+def q_boosted_stumps_score(spark, sf_dir):
+    """The test split's clean rows, unfilled, scored to total and text by the stumps."""
+    c = clean_listings_of(spark, sf_dir)
+    train, _ = features.train_test_split(impute.model_table(c))
+    model = models.PriceModel(_boosted_stumps(train), models.training_medians(c))
+    _, unfilled = features.train_test_split(impute.trim_prices(c))
+    out = score.score(model, _requests_from(unfilled).drop(PRICE))
+    return out.withColumns({"prediction_log": F.round("prediction_log", 8), "predicted_price": F.round("predicted_price", 4)})
+
+
 def _metrics_rounded(m: DataFrame) -> DataFrame:
     return m.select("n", F.round("rmse", 2).alias("rmse"), F.round("mse", -4).alias("mse"),
                     F.round("mae", 2).alias("mae"), F.round("r2", 8).alias("r2"))
@@ -414,11 +433,32 @@ def q_regression_metrics(spark, sf_dir):
     return _metrics_rounded(evaluate.regression_metrics(est.withColumnRenamed("mean_price", "predicted_price")))
 
 
+#: The four price models (K10-K13) with the source job's settings.
+REGRESSORS = {"linear_regression": models.linear_regression, "decision_tree": lambda: models.decision_tree(seed=42),
+              "random_forest": models.random_forest, "gbt": boosting.Learner}
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def kept_models(spark, sf_dir, names: list[str]) -> dict[str, models.PriceModel]:
+    """Models of the training split, fitted once an application and table folder: saved on first
+    use (S5) into the shared folder and read back (S6) by every query that asks for them."""
+    key = lambda n: (spark.sparkContext.applicationId, sf_dir, n)
+    missing = [n for n in names if key(n) not in _KEPT]
+    if missing:
+        c = clean_listings_of(spark, sf_dir)
+        train, _ = features.train_test_split(impute.model_table(c))
+        medians = models.training_medians(c)
+        for n, fitted in models.fit_all(train, {n: REGRESSORS[n]() for n in missing}).items():
+            folder = shared_folder(spark, f"models_{len(_KEPT)}_{n}")
+            models.PriceModel(fitted, medians).save(folder)
+            _KEPT[key(n)] = folder
+    return {n: models.PriceModel.load(_KEPT[key(n)]) for n in names}
+
+
 @register("model_comparison")
 def q_model_comparison(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
-    fitted = models.fit_all(train, {"linear_regression": models.linear_regression(), "decision_tree": models.decision_tree(seed=42),
-                                    "random_forest": models.random_forest(), "gbt": models.gbt()})
+    _, test = _split(spark, sf_dir)
+    fitted = {n: m.pipeline for n, m in kept_models(spark, sf_dir, list(REGRESSORS)).items()}
     return evaluate.compare_models(models.predict_all(fitted, test), {n: f"prediction_{n}" for n in fitted})
 
 
@@ -442,30 +482,28 @@ def q_scoring_input(spark, sf_dir):
     return score.flag_with_stored_medians(score.normalize_requests(_odd_requests(c)), {m: stats[f"{m}__median"] for m in IMPUTE_COLUMNS})
 
 
-def _score_query(spark, sf_dir, regressor):
-    """Fit on the training split, score the test split's clean rows as they were before any fill."""
-    c = clean_listings_of(spark, sf_dir)
-    train, _ = features.train_test_split(impute.model_table(c))
-    model = models.PriceModel(models.fit_pipeline(train, regressor), models.training_medians(c))
-    _, unfilled = features.train_test_split(impute.trim_prices(c))
+def _score_query(spark, sf_dir, name):
+    """The test split's clean rows as they were before any fill, scored by a model of the training split."""
+    model = kept_models(spark, sf_dir, [name])[name]
+    _, unfilled = features.train_test_split(impute.trim_prices(clean_listings_of(spark, sf_dir)))
     return score.score(model, _requests_from(unfilled).drop(PRICE))
 
 
 @register("gbt_score")
 def q_gbt_score(spark, sf_dir):
-    return _score_query(spark, sf_dir, models.gbt())
+    return _score_query(spark, sf_dir, "gbt")
 
 
 @register("decision_tree_score")
 def q_decision_tree_score(spark, sf_dir):
-    return _score_query(spark, sf_dir, models.decision_tree(seed=42))
+    return _score_query(spark, sf_dir, "decision_tree")
 
 
 @register("random_forest_score")
 def q_random_forest_score(spark, sf_dir):
-    return _score_query(spark, sf_dir, models.random_forest())
+    return _score_query(spark, sf_dir, "random_forest")
 
 
 @register("linear_score")
 def q_linear_score(spark, sf_dir):
-    return _score_query(spark, sf_dir, models.linear_regression())
+    return _score_query(spark, sf_dir, "linear_regression")

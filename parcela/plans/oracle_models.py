@@ -6,7 +6,7 @@ neighbouring values, the split with the largest fall of squared error.
 
 from __future__ import annotations
 
-from parcela.plans.oracle import SQL, _estimate, with_clean, with_model
+from parcela.plans.oracle import LABELS_CTE, SQL, _estimate, _text, with_clean, with_model
 
 _IMPUTE = ["bedroom_num", "toilet_num", "floor_num", "livingroom_num"]
 _PAGE = ["area (m2)", *_IMPUTE, "street (m)"]
@@ -124,3 +124,95 @@ SELECT model, (SELECT count(*) FROM te) AS n_total, count(*) AS n_scored, round(
        round(sum((y - p) * (y - p)) / count(*), -4) AS mse, round(avg(abs(y - p)), 2) AS mae,
        round(1.0 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 8) AS r2
 FROM e GROUP BY model""")
+
+
+# --- least squares by normal equations ------------------------------------------------
+
+_FLAGS = [f"{c}_missing_flag" for c in _IMPUTE]
+_CATEGORIES = ["category", "direction", "liability", "district", "city_province"]
+_NUMBERS = ["area (m2)", "floor_num", "toilet_num", "livingroom_num", "bedroom_num", "street (m)"]
+
+
+def _eliminated(p: str) -> str:
+    """From m (g, i, row): e, the normal equations of ``p`` features after every step; a dependent feature's row is 0."""
+    return f"""
+e AS (
+  SELECT 0 AS k, g, i, row, row[i + 1] AS own FROM m
+  UNION ALL
+  SELECT a.k + 1, a.g, a.i,
+         CASE WHEN b.row[a.k + 1] <= 1e-6 * b.own THEN CASE WHEN a.i = a.k THEN list_transform(a.row, lambda v: 0.0::DOUBLE) ELSE a.row END
+              WHEN a.i = a.k THEN list_transform(a.row, lambda v: v / b.row[a.k + 1])
+              ELSE list_transform(list_zip(a.row, b.row), lambda v: v[1] - v[2] * a.row[a.k + 1] / b.row[a.k + 1]) END, a.own
+  FROM e a JOIN e b ON a.g IS NOT DISTINCT FROM b.g AND b.i = a.k WHERE a.k < {p}
+)"""
+
+
+_RECURSIVE = lambda text: text.replace("WITH ", "WITH RECURSIVE ", 1)
+_WHOLE = " AND ".join(f'"{c}" IS NOT NULL' for c in _NUMBERS)
+
+SQL["linear_by_city"] = _RECURSIVE(with_model(f""",
+v AS (SELECT row_number() OVER () AS r, * FROM tr WHERE {_WHOLE}),
+f AS (SELECT r, city_province AS g, 0 AS i, 1.0::DOUBLE AS x FROM v UNION ALL """ + " UNION ALL ".join(
+    f'SELECT r, city_province, {k}, CAST("{c}" AS DOUBLE) FROM v' for k, c in enumerate([*_NUMBERS, "price_log"], 1)) + f"""),
+s AS (SELECT a.g, a.i, b.i AS j, sum(a.x * b.x) AS s FROM f a JOIN f b ON a.r = b.r WHERE a.i < {len(_NUMBERS) + 1} GROUP BY ALL),
+m AS (SELECT g, i, list(s ORDER BY j) AS row FROM s GROUP BY g, i),""" + _eliminated(str(len(_NUMBERS) + 1)) + f"""
+SELECT e.g AS city_province, (SELECT count(*) FROM v WHERE city_province IS NOT DISTINCT FROM e.g) AS n, CAST(i AS INTEGER) AS feature,
+       round(row[{len(_NUMBERS) + 2}], 6) AS coefficient
+FROM e WHERE k = {len(_NUMBERS) + 1}"""))
+
+_SLOT0 = 1 + len(_FLAGS) + len(_NUMBERS)
+SQL["linear_full"] = _RECURSIVE(with_model(LABELS_CTE + f""",
+pos AS (SELECT * FROM (VALUES """ + ", ".join(f"('{c}', {i})" for i, c in enumerate(_CATEGORIES)) + f""") t(column_name, o)),
+starts AS (SELECT nlab.column_name, {_SLOT0} + coalesce(sum(n) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+           FROM nlab JOIN pos ON nlab.column_name = pos.column_name),
+size AS (SELECT CAST({_SLOT0} + sum(n) AS BIGINT) AS p FROM nlab),
+v AS (SELECT row_number() OVER () AS r, * FROM tr WHERE {_WHOLE}),
+f AS MATERIALIZED (
+  SELECT r, 0 AS i, 1.0::DOUBLE AS x FROM v UNION ALL """ + " UNION ALL ".join(
+    f'SELECT r, {k}, CAST("{c}" AS DOUBLE) FROM v' for k, c in enumerate([*_FLAGS, *_NUMBERS], 1)) + """
+  UNION ALL SELECT r, p, price_log FROM v, size
+  UNION ALL SELECT l.r, CAST(starts.start + ranks.idx AS BIGINT), 1.0::DOUBLE FROM (""" + " UNION ALL ".join(
+    f"SELECT r, '{c}' AS column_name, {c} AS label FROM v" for c in _CATEGORIES) + """) l
+  JOIN ranks ON ranks.column_name = l.column_name AND ranks.label = l.label JOIN starts ON starts.column_name = l.column_name),
+s AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS s FROM f a JOIN f b ON a.r = b.r GROUP BY a.i, b.i),
+grid AS (SELECT a.i, b.j FROM (SELECT unnest(range(p)) AS i FROM size) a, (SELECT unnest(range(p + 1)) AS j FROM size) b),
+m AS (SELECT 0 AS g, grid.i, list(coalesce(s.s, 0.0) ORDER BY grid.j) AS row FROM grid LEFT JOIN s ON s.i = grid.i AND s.j = grid.j GROUP BY grid.i),"""
+                                                       + _eliminated("(SELECT p FROM size)") + """
+SELECT (SELECT count(*) FROM v) AS n, CAST(i AS INTEGER) AS feature, round(row[p + 1], 6) AS coefficient FROM e, size WHERE k = p"""))
+
+
+# --- boosted stumps ---------------------------------------------------------------------
+
+_ROUNDS = 20
+
+
+def _boosted(rounds: int) -> str:
+    """CTEs ending in f (a row for each kind of counts, with the sum of all stumps as ``p``)."""
+    keys = ", ".join(_IMPUTE)
+    out = [f""",
+kinds AS MATERIALIZED (SELECT {keys}, count(*) AS n, sum(price_log) AS y FROM tr WHERE {_KNOWN} GROUP BY ALL),
+p0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS p FROM kinds)"""]
+    for k in range(rounds):
+        residual = "y" if k == 0 else "2 * (y - n * p)"
+        long = " UNION ALL ".join(f"SELECT {i} AS f, {c} AS v, n, {residual} AS g FROM p{k}" for i, c in enumerate(_IMPUTE))
+        out.append(f"""h{k} AS (SELECT f, v, sum(n) AS n, sum(g) AS s FROM ({long}) GROUP BY f, v),
+w{k} AS (SELECT f, v, lead(v) OVER o AS nv, sum(n) OVER o AS nl, sum(s) OVER o AS sl, sum(n) OVER (PARTITION BY f) AS nt, sum(s) OVER (PARTITION BY f) AS st
+         FROM h{k} WINDOW o AS (PARTITION BY f ORDER BY v)),
+b{k} AS MATERIALIZED (SELECT f, (v + nv) / 2 AS t, sl / nl AS ml, (st - sl) / (nt - nl) AS mr FROM w{k} WHERE nv IS NOT NULL
+         ORDER BY round(sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt, 9) DESC, f, t LIMIT 1),
+p{k + 1} AS MATERIALIZED (SELECT p{k}.* REPLACE (p + {'1.0' if k == 0 else '0.1'}::DOUBLE * CASE WHEN {_goes_left(f'b{k}', f'p{k}')} THEN ml ELSE mr END AS p) FROM p{k}, b{k})""")
+    # Kinds of counts that no training row has are sent through the same stumps.
+    test = " + ".join(f"{'1.0' if k == 0 else '0.1'}::DOUBLE * CASE WHEN {_goes_left(f'b{k}', 'q')} THEN b{k}.ml ELSE b{k}.mr END" for k in range(rounds))
+    out.append(f"""f AS MATERIALIZED (SELECT q.*, {test} AS p FROM (SELECT {keys}, count(*) AS rows FROM te WHERE {_KNOWN} GROUP BY ALL) q, {', '.join(f'b{k}' for k in range(rounds))})""")
+    return ",\n".join(out)
+
+
+SQL["boosted_stumps"] = with_model(_boosted(_ROUNDS) + f"""
+SELECT {', '.join(_IMPUTE)}, rows, round(p, 8) AS prediction FROM f""")
+
+SQL["boosted_stumps_score"] = with_model(_boosted(_ROUNDS) + f""",
+x AS (SELECT te.listing_id AS request_id, f.p, te."area (m2)" AS area FROM te LEFT JOIN f ON {' AND '.join(f'te.{c} = f.{c}' for c in _IMPUTE)}),
+z AS (SELECT request_id, p, exp(p) - 1 AS price, CAST(round_even(exp(p) - 1, 0) AS BIGINT) AS per_m2, area FROM x),
+t AS (SELECT *, CAST(round_even(per_m2 * area, 0) AS BIGINT) AS total_price FROM z)
+SELECT request_id, round(p, 8) AS prediction_log, round(price, 4) AS predicted_price, per_m2 AS price_per_m2_int, total_price,
+       CASE WHEN total_price IS NOT NULL THEN {_text('total_price')} END AS total_text FROM t""")

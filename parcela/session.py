@@ -7,8 +7,11 @@ to the folder the cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +69,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context, so that their Python can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_parcela_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory(prefix="parcela-") as folder:     # read at once by addPyFile
+        archive = Path(folder) / "parcela.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for source in sorted(root.rglob("*.py")):
+                z.write(source, source.relative_to(root.parent))
+        shared = f"{ensure_checkpoint_dir(spark)}/{sc.applicationId}-parcela.zip"
+        path = sc._jvm.org.apache.hadoop.fs.Path(shared)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).copyFromLocalFile(sc._jvm.org.apache.hadoop.fs.Path(str(archive)), path)
+    sc.addPyFile(shared)
+    sc._parcela_shipped = True
+
+
 @contextmanager
 def held(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` kept in memory, spilling to disk, for the iterative fits within the block only.
