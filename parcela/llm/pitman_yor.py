@@ -375,6 +375,7 @@ def _arrow_draw(frame: DataFrame, columns: list[str], strength: float, sweep: in
 class PitmanYor:
     """Sampled state: pair values (bucket, u, w, m), word parameters (id, l0.., p0..), and numbers."""
 
+    shelf: Shelf
     pairs: DataFrame
     words: DataFrame
     coded: DataFrame
@@ -454,7 +455,7 @@ def learn(docs: DataFrame, strength: float = 2.0, root_strength: float = 2.0, bu
     for more in kept[1:]:
         params = params.join(more.hint("shuffle_hash"), "id")
     means = many.select("bucket", "u", "w", (F.col("c") - DISCOUNT * F.col("t_sum") / samples).alias("m"))
-    return PitmanYor(means, params, coded, buckets, n_tokens, n_words, texts, strength, start, unknowns)
+    return PitmanYor(shelf, means, params, coded, buckets, n_tokens, n_words, texts, strength, start, unknowns)
 
 
 # --- scoring -----------------------------------------------------------------------
@@ -510,7 +511,8 @@ def score(model: PitmanYor) -> DataFrame:
                          "base_score": pa.array(by_text(np.log10((c + 1) / (n_tokens + 1 * (n_words + 1))))),
                          "score": pa.array(by_text(np.log10(prob)))})
 
-    answers = _replies(model).groupBy("block").agg(F.collect_list(F.struct("bucket", "m")).alias("replies"))
+    # Written before the next shuffles start, so that those of the messages are gone by then.
+    answers = model.shelf.put("replies", _replies(model)).groupBy("block").agg(F.collect_list(F.struct("bucket", "m")).alias("replies"))
     whole = model.coded.join(answers, "block", "left")
     local_params = model.coded.select("block", "ids").mapInArrow(local, "block long, local int, id long").join(model.words.hint("shuffle_hash"), "id").select("block", "local", *params)
     out = whole.groupBy("block").cogroup(local_params.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
