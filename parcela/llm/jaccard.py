@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcela.llm.common import chunks, column_bytes, cut, table, to_batch
@@ -485,12 +485,6 @@ def _in_rings(large: DataFrame, num: int, den: int) -> DataFrame:
     return large.select("region", F.explode(F.array(ring, ring - 1)).alias("part"), "class", "grams")
 
 
-def _with_totals(frame: DataFrame, size: Column) -> DataFrame:
-    """Adds ``total``, the n-grams of a row's region, from rows (region, ...)."""
-    totals = frame.groupBy("region").agg(F.sum(size).cast("long").alias("total"))
-    return frame.join(totals, "region")
-
-
 def region_links(sets: DataFrame, num: int, den: int, task_grams: int = 1_000_000, every: bool = False) -> DataFrame:
     """Spanning links (a, b) of classes within the regions of ``sets`` (region, total, class, grams);
     if ``every``, all links, with repeats where classes meet in several parts.
@@ -501,34 +495,40 @@ def region_links(sets: DataFrame, num: int, den: int, task_grams: int = 1_000_00
     still large is divided by pivots, or, where pivots do not divide it, by size;
     parts that exceed two tasks are compared by pairs of blocks.
     """
+    # Each kind of part is joined and written by itself: its copies of the sets are gone before the next are made.
     links = []
     for again in (False, True):
         small = sets.where(F.col("total") <= task_grams)
         # Buckets of about a quarter of a task, and never over a task and a quarter.
         n = small.agg(F.sum(F.octet_length("grams") / 8)).first()[0] or 0
         bucket = F.pmod(F.xxhash64("region"), F.lit(max(1, int(-(-4 * n // task_grams))))).cast("int")
-        links.append(_join_groups(small.select("region", F.lit(0).alias("part"), "class", "grams", bucket.alias("bucket")), ["bucket"], num, den, every))
+        small = small.select("region", F.lit(0).alias("part"), "class", "grams", bucket.alias("bucket"))
+        links.append(cut(_join_groups(small, ["bucket"], num, den, every)))
         large = sets.where(F.col("total") > task_grams)
+        del small
         if large.isEmpty():
             return _union(links)
         if not again:
-            found = _meet(_rare_cells(large, num, den)).select("node", F.col("label").alias("_to"))
-            dealt = _with_node(large.drop("total")).join(found, "node").select(F.col("_to").alias("region"), "class", "grams")
-            sets = cut(_with_totals(dealt, F.octet_length("grams") / 8).select("region", "total", "class", "grams"))
+            found = cut(_meet(_rare_cells(large, num, den)).select("node", F.col("label").alias("_to")))
+            sizes = _with_node(large.select("class", (F.octet_length("grams") / 8).alias("size")))
+            regions = found.join(sizes.join(found, "node").groupBy("_to").agg(F.sum("size").cast("long").alias("_total")), "_to")
+            sets = cut(_with_node(large.drop("total")).join(regions, "node")
+                       .select(F.col("_to").alias("region"), F.col("_total").alias("total"), "class", "grams"))
+            del large
     dealt = cut(_by_pivots(large, num, den, task_grams))
     parts = dealt.groupBy("region", "part").agg(F.sum("size").alias("grams_total"))
     # Pivots divide a region if its cells hold no more than twice its sets between them.
     copies = dealt.groupBy("region").agg(F.sum("size").alias("_held"))
-    divided = (large.select("region", "total").distinct().join(copies, "region").where("_held <= 2 * total").select("region"))
+    divided = cut(large.select("region", "total").distinct().join(copies, "region").where("_held <= 2 * total").select("region"))
     whole = _in_rings(large.join(divided, "region", "left_anti"), num, den)
     in_cells = large.join(dealt.join(divided, "region", "left_semi").drop("size"), ["region", "class"]).select("region", "part", "class", "grams")
     ringed = whole.groupBy("region", "part").agg(F.sum(F.octet_length("grams") / 8).cast("long").alias("grams_total"))
     totals = cut(parts.join(divided, "region", "left_semi").unionAll(ringed).select("region", "part", "grams_total"))
-    spread = in_cells.unionAll(whole)
     fits = totals.where(F.col("grams_total") <= task_grams).select("region", "part")
     beyond = totals.where(F.col("grams_total") > task_grams)
-    links.append(_join_groups(spread.join(fits, ["region", "part"]), ["region", "part"], num, den, every))
-    links.append(_join_groups(_block_pairs(spread, beyond, ["region", "part"], 2 * task_grams), ["region", "part", "i", "j"], num, den, every))
+    for spread in (in_cells, whole):
+        links.append(cut(_join_groups(spread.join(fits, ["region", "part"]), ["region", "part"], num, den, every)))
+        links.append(cut(_join_groups(_block_pairs(spread, beyond, ["region", "part"], 2 * task_grams), ["region", "part", "i", "j"], num, den, every)))
     return _union(links)
 
 
