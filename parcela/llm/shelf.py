@@ -22,7 +22,9 @@ class Shelf:
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
-        # The shuffles behind the table have no reader left: let Spark's cleaner find that.
+        # The shuffles and checkpoints behind a frame that the caller does not keep have no reader left:
+        # let Spark's cleaner find that now, not one step later.
+        del df
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.parquet(f"{self.folder}/{name}")
