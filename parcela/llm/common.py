@@ -55,8 +55,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     kept = df.checkpoint()
+    del df                  # else its shuffles would stay until the next cut
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    kept.sparkSession.sparkContext._jvm.System.gc()
     return kept
 
 
