@@ -435,7 +435,9 @@ def _join_groups(sets: DataFrame, keys: list[str], num: int, den: int, every: bo
                 links += [(order[a], order[b]) for a, b in pairs]
         return pa.Table.from_batches([to_batch(links, LINK)])
 
-    return sets.groupBy(*keys).applyInArrow(run, LINK_DDL)
+    # A stated number of partitions: few bytes can be much to compare, and adaptive execution would merge by bytes.
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sets.repartition(tasks, *keys).groupBy(*keys).applyInArrow(run, LINK_DDL)
 
 
 def _by_pivots(large: DataFrame, num: int, den: int, slice_grams: int, pivots: int = 16) -> DataFrame:
