@@ -95,10 +95,11 @@ def price_boxplot(df: DataFrame, col: str = PRICE, low: float = PRICE_TRIM_LOW,
     x = F.col(col).cast("double")
     stages = F.when(x.between(low, high), F.array(F.lit("before_trim"), F.lit("after_trim"))).otherwise(F.array(F.lit("before_trim")))
     vals = df.where(x.isNotNull()).select(F.explode(stages).alias("stage"), x.alias("x"))
-    quart = (exact_quantiles(vals, F.col("x"), [0.25, 0.5, 0.75], ["stage"]).groupBy("stage")
+    # The price beside its key, as an aggregate: no filter on it goes below the counting.
+    counted = vals.groupBy("stage", F.col("x").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("x"))
+    quart = (exact_quantiles(counted, F.col("x"), [0.25, 0.5, 0.75], ["stage"], F.col("n")).groupBy("stage")
              .agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
              .withColumn("iqr", F.col("q3") - F.col("q1")))
-    counted = vals.groupBy("stage", "x").agg(F.count(F.lit(1)).alias("n"))
     fenced = counted.join(quart, "stage").withColumn(
         "inside", F.col("x").between(F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")))
     return fenced.groupBy("stage", "q1", "median", "q3", "iqr").agg(
