@@ -29,3 +29,18 @@ def test_repeated_and_unreadable_prices(spark):
     raw = spark.createDataFrame([row(1, "~2,5 triệu/m2"), row(1, "~2,5 triệu/m2"), row(2, "Thương lượng"), row(3, None)],
                                 "listing_id bigint, " + ", ".join(f"{n} string" for n in names[1:]))
     assert [(r.listing_id, r[PRICE]) for r in clean(raw).collect()] == [(1, 2500000.0), (1, 2500000.0)]
+
+
+def test_districts_parse_the_address_without_pushed_copies(spark, sf_dir):
+    from parcela.operators.market import avg_price_by_district
+    rows = clean(raw_listings(spark, sf_dir))
+    plan = avg_price_by_district(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Lưu tin\\s*$") == 1
+
+
+def test_district_means_leave_out_missing_places(spark):
+    from parcela.operators.market import avg_price_by_district
+    rows = spark.createDataFrame([("A", "x", 2.0), ("A", "x", None), ("A", None, 5.0), (None, "x", 7.0), ("B", "", 1.0)],
+                                 f"city_province string, district string, {PRICE} double")
+    assert [tuple(r) for r in avg_price_by_district(rows).collect()] == [("A", "x", 2.0, 2), ("B", "", 1.0, 1)]
+    assert [tuple(r) for r in avg_price_by_district(rows, "B").collect()] == [("B", "", 1.0, 1)]
