@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from parcela.operators.clean import CLEAN_NAMES, normalized_columns, parsed_columns
 from parcela.operators.joins import scalar_row
-from parcela.operators.quantiles import exact_quantiles, quantile_row
+from parcela.operators.quantiles import counted_mean, exact_quantiles, quantile_row, value_counts
 from parcela.schema import PRICE, PRICE_TRIM_HIGH, PRICE_TRIM_LOW
 
 RAW_NAMES = ["title", "link", "price", "area", "category", "direction", "liability",
@@ -76,12 +76,24 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
 
 
 def price_summary(df: DataFrame, col: str = PRICE, approximate: bool = False) -> DataFrame:
-    """P5: typed twin of ``summary()`` with exact quartiles."""
+    """P5: typed twin of ``summary()`` with exact quartiles.
+
+    Values are counted once; quartiles, moments and extremes come from the counts.
+    """
     x = F.col(col).cast("double")
-    q = scalar_row(quantile_row(df, x, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, approximate))
-    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
-                  F.stddev_samp(x).alias("stddev"), F.min(x).alias("min"),
-                  F.max(x).alias("max")).withColumns(q)
+    named = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    if approximate:
+        return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("stddev"), F.min(x).alias("min"),
+                      F.max(x).alias("max")).withColumns(scalar_row(quantile_row(df, x, named, approximate)))
+    values = value_counts(df, x)
+    x, n = F.col("x"), F.col("n")
+    q = scalar_row(quantile_row(values, x, named, weight=n))
+    mean = scalar_row(values.agg(counted_mean(x, n).alias("mean")))["mean"]
+    count = F.coalesce(F.sum(F.when(x.isNotNull(), n)), F.lit(0).cast("bigint"))
+    # Squares about the mean: sums of squares about zero would lose digits.
+    spread = F.sqrt(F.try_divide(F.sum((x - mean) * (x - mean) * n), F.nullif(count - 1, F.lit(0))))
+    return values.agg(count.alias("count"), counted_mean(x, n).alias("mean"), spread.alias("stddev"),
+                      F.min(x).alias("min"), F.max(x).alias("max")).withColumns(q)
 
 
 def price_boxplot(df: DataFrame, col: str = PRICE, low: float = PRICE_TRIM_LOW,
