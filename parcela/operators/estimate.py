@@ -46,10 +46,14 @@ def group_means(listings: DataFrame) -> DataFrame:
 
     Keys: ``=value`` for a grouped level, ``*`` for a rolled-up level.
     """
-    g = (listings.cube("category", "district")
-                 .agg(F.avg(F.col(PRICE).cast("double")).alias("group_avg"),
-                      F.count(F.lit(1)).alias("group_rows"),
-                      F.grouping("category").alias("_gc"), F.grouping("district").alias("_gd")))
+    # Sums by category and district first: only these are rolled up, not the rows.
+    price = F.col(PRICE).cast("double")
+    sums = (listings.groupBy("category", "district")
+                    .agg(F.sum(price).alias("_s"), F.count(price).alias("_n"), F.count(F.lit(1)).alias("_rows")))
+    g = (sums.cube("category", "district")
+             .agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("group_avg"),
+                  F.sum("_rows").alias("group_rows"),
+                  F.grouping("category").alias("_gc"), F.grouping("district").alias("_gd")))
     return g.select(
         F.when(F.col("_gc") == 1, F.lit(ALL)).otherwise(F.concat(F.lit("="), "category")).alias("_kc"),
         F.when(F.col("_gd") == 1, F.lit(ALL)).otherwise(F.concat(F.lit("="), "district")).alias("_kd"),
@@ -78,7 +82,7 @@ def statistical_estimate(requests: DataFrame, listings: DataFrame,
     the request columns named in ``carry``.
     """
     means = group_means(listings)
-    overall = listings.agg(F.avg(F.col(PRICE).cast("double"))).scalar()
+    overall = means.where((F.col("_kc") == ALL) & (F.col("_kd") == ALL)).agg(F.max("group_avg")).scalar()
     cg, dg = _given(F.col("category")), _given(F.col("district"))
     req = requests.select(
         id_col, *carry, "category", "district", "direction", "bedroom_num", AREA,
