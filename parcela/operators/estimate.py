@@ -157,25 +157,33 @@ def comparables(requests: DataFrame, listings: DataFrame, k: int = 5,
         return df.withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= keep).drop("_r")
 
     few = first_ids(cand, [*place, "area_m2"])
-    levels = F.explode(F.sequence(F.lit(0), F.lit(GRID_BITS)))
-    cells = (few.withColumn("level", levels).withColumn("cell", F.expr("shiftright(_fine, level)")).drop("_fine"))
-    cells = first_ids(cells, [*place, "level", "cell"])
-
-    req = requests.select(F.col(id_col).alias("_rid"), F.col("city_province").alias("_rc"),
-                          F.col("district").alias("_rd"), F.col(AREA).cast("double").alias("_ra")).distinct()
+    # Level -1 keeps the first ids of every area, for the ends of ranges; one table, so that one pass makes all.
+    levels = F.explode(F.sequence(F.lit(-1), F.lit(GRID_BITS)))
+    cells = few.withColumn("level", levels).withColumns({
+        "cell": F.expr("shiftright(_fine, greatest(level, 0))"), "_own": F.when(F.col("level") < 0, F.col("area_m2"))})
+    cells = first_ids(cells.drop("_fine"), [*place, "level", "cell", "_own"]).drop("_own")
+
+    # One distinct pass over the requests for their ranges and for the answers.
+    req = (requests.select(F.col(id_col).alias("_rid"), F.col("city_province").alias("_rc"),
+                           F.col("district").alias("_rd"), F.col(AREA).cast("double").alias("_ra"))
+           .where("_ra > 0 AND _rc IS NOT NULL AND _rd IS NOT NULL").distinct())
     key = ["_rc", "_rd", "_ra"]
-    keys = (req.select(*key).where("_ra > 0 AND _rc IS NOT NULL AND _rd IS NOT NULL").distinct()
+    # The count keeps the two distinct steps apart, so that the first is the requests' own and shared.
+    keys = (req.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").drop("_n")
             .withColumn("_a", _cell(F.col("_ra") * F.lit(low), low, high)).withColumn("_z", _cell(F.col("_ra") * F.lit(high), low, high)))
-    whole = keys.select(*key, F.inline(_whole_cells(F.col("_a") + 1, F.col("_z"))))
-    by_cell = whole.join(cells.withColumnsRenamed({"city_province": "_rc", "district": "_rd"}), ["_rc", "_rd", "level", "cell"])
-    ends = keys.select(*key, F.explode(F.array_distinct(F.array("_a", "_z"))).alias("_fine"))
-    by_area = (ends.join(few.withColumnsRenamed({"city_province": "_rc", "district": "_rd"}), ["_rc", "_rd", "_fine"])
-               .where((F.col("area_m2") > F.col("_ra") * F.lit(low)) & (F.col("area_m2") < F.col("_ra") * F.lit(high))))
-    per_key = first_ids(by_cell.select(*key, *details).unionAll(by_area.select(*key, *details)), key)
-
-    pairs = req.join(per_key, key)
+    ends = F.transform(F.array_distinct(F.array("_a", "_z")), lambda c: F.struct(F.lit(-1).alias("level"), c.alias("cell")))
+    asked = keys.select(*key, F.inline(F.concat(_whole_cells(F.col("_a") + 1, F.col("_z")), ends)))
+    found = asked.join(cells.withColumnsRenamed({"city_province": "_rc", "district": "_rd"}), ["_rc", "_rd", "level", "cell"])
+    inside = (F.col("area_m2") > F.col("_ra") * F.lit(low)) & (F.col("area_m2") < F.col("_ra") * F.lit(high))
+    per_key = first_ids(found.where((F.col("level") >= 0) | inside).select(*key, *details), key)
+
+    # The answers of a range as one short list; a request cuts its own from it, without a shuffle.
+    # Of the rows of one id no more than k can be chosen.
+    one_id = Window.partitionBy(*key, "listing_id").orderBy("area_m2", PRICE)
+    lists = (per_key.withColumn("_r", F.row_number().over(one_id)).where(F.col("_r") <= k)
+             .groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*details))).alias("_found")))
+    found = F.col("_found")
     if exclude_self:
-        pairs = pairs.filter(F.col("listing_id") != F.col("_rid"))
-    w2 = Window.partitionBy("_rid", *key).orderBy("listing_id", "area_m2", PRICE)
-    ranked = pairs.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("_rid").alias(id_col), "rank", *details)
+        found = F.filter(found, lambda x: x["listing_id"] != F.col("_rid"))
+    chosen = req.join(lists, key).select(F.col("_rid").alias(id_col), F.posexplode(F.slice(found, 1, k)).alias("_at", "_row"))
+    return chosen.select(id_col, (F.col("_at") + 1).alias("rank"), "_row.*")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from parcela.operators import impute, market, profile
+from parcela.operators import estimate, impute, market, profile
 from parcela.schema import AREA, IMPUTE_COLUMNS, PRICE
 
 
@@ -83,3 +83,10 @@ def test_price_figures_without_rows(spark, scratch):
 def test_quantiles_scan_once(spark, scratch):
     out = market.price_quartiles(_priced(spark, scratch))
     assert tuple(out.first()) == (3e6, 5e6) and _scans(out) == 1
+
+
+def test_estimates_read_listings_once(spark, scratch):
+    t = _priced(spark, scratch).withColumns({"direction": F.lit("x"), "bedroom_num": F.lit(1), "floor_num": F.lit(1)})
+    asked = t.drop(PRICE).withColumnRenamed("listing_id", "request_id")
+    assert _rows_read(spark, t, lambda x: estimate.statistical_estimate(asked, x)) == 1
+    assert _rows_read(spark, t, lambda x: estimate.comparables(asked, x, k=2, exclude_self=True)) <= 1
