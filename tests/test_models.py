@@ -104,3 +104,22 @@ def test_missing_and_short_named_columns(spark):
         impute.with_short_names(spark.createDataFrame([(1.0,)], "area_m2 double"))
     with pytest.raises(ValueError):
         score.with_alias(req, "street (m)")
+
+
+def test_trees_of_kinds_are_the_trees_of_rows(spark, monkeypatch):
+    """The count trees learn from a weighted row a kind and predict what the rows' trees do."""
+    from parcela.plans import catalog
+    from pyspark.sql import functions as F
+    rows = [(*[float((k * m) % 5) for m in (1, 2, 3, 7)], float((k * 13) % 17)) for k in range(60)] * 5
+    train = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in IMPUTE_COLUMNS) + ", price_log double")
+    monkeypatch.setattr(catalog.features, "train_test_split", lambda t: (train, train))
+    monkeypatch.setattr(catalog, "model_table_of", lambda *a: train)
+    plain = models.predict_all(catalog._fit_on(train, IMPUTE_COLUMNS, catalog._count_trees()), train, IMPUTE_COLUMNS)
+    held_rows = []
+    hold = catalog.held
+    monkeypatch.setattr(catalog, "held", lambda df: held_rows.append(df.count()) or hold(df))
+    got = catalog._count_tree_predictions(spark, "")
+    names = [f"prediction_{n}" for n in catalog._count_trees()]
+    key = lambda df: sorted(tuple(round(v, 9) for v in r) for r in df.select(*IMPUTE_COLUMNS, *names).distinct().collect())
+    assert set(key(got)) == set(key(plain))
+    assert held_rows == [train.select(*IMPUTE_COLUMNS).distinct().count()]
