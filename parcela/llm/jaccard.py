@@ -13,7 +13,8 @@ with equal sets are one class.
    than a link can have differences; linked classes agree wholly on a part, so
    they meet in the cell of that part's content.  Classes that meet in cells
    make up a region; a region that is still large is dealt again on its own,
-   by those of its n-grams that are rarest in it.
+   by those of its n-grams that are rarest in it, told by hashed counts and, if
+   that leaves it large, by exact ones.
 3. Within a region document pivots tell something.  Classes go to the nearest
    pivot (its Voronoi cell) and also to any pivot whose distance is within
    twice the join radius of that, which the triangle inequality proves enough;
@@ -400,6 +401,74 @@ def _rare_cells(sets: DataFrame, num: int, den: int, buckets: int = 1 << 22) ->
     return sets.mapInArrow(run, "cell long, node long")
 
 
+#: The number of rows of a key that several partitions may hold; each of them says so.
+MANY = (1 << 31) - 1
+HELD = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("need", pa.int64())])
+SHARED = HELD.append(pa.field("n", pa.int32()))
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node, need) sorted by key, those of keys in two rows or more, with their number ``n``.
+
+    The first and the last key may go on in other partitions: their number is ``MANY`` wherever they stand.
+    """
+    def counted(rows: pa.Table, opens: bool, ends: bool) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        key = rows.column("key").to_numpy()
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(start, append=len(key))
+        number = np.minimum(size, MANY)
+        if opens:
+            number[0] = MANY
+        if ends:
+            number[-1] = MANY
+        n = np.repeat(number, size).astype(np.int32)
+        out = rows.append_column("n", pa.array(n)).filter(pa.array(n > 1)).combine_chunks()
+        return out.to_batches()[0] if out.num_rows else to_batch([], SHARED)
+
+    waiting, last, opens = [], None, True        # rows of the key that the next batch may go on with, and those before
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        if last is not None and key[-1] != last:
+            rows = pa.Table.from_batches([*waiting, batch])
+            upto = rows.num_rows - int((key == key[-1]).sum())
+            yield counted(rows.slice(0, upto), opens, False)
+            waiting, opens = rows.slice(upto).to_batches(), False
+        else:
+            waiting.append(batch)
+        last = key[-1]
+    if waiting:
+        yield counted(pa.Table.from_batches(waiting), opens, True)
+
+
+def _counted_cells(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(cell, node): sets of a region meet in the rarest n-grams that both hold, by exact numbers of sets.
+
+    An n-gram of no other set links nothing.  Of the s others of a set, in any order
+    common to all sets, the first s less those a link needs, plus one, cannot all be
+    missing; a set that shares fewer than a link needs has no cell.  The n-grams are
+    counted where their occurrences meet, so nothing is broadcast and a count stays
+    a count however many sets there are.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "grams", CHUNK):
+                raw = part.column("grams").to_pylist()
+                size = np.array([len(r) // 8 for r in raw], np.int64)
+                key = mix(np.frombuffer(b"".join(raw), "<u8") ^ mix(np.repeat(part.column("region").to_numpy(), size)))
+                node = np.array([_node(x) for x in part.column("class").to_pylist()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(node, size)), pa.array(np.repeat(-(-num * size // den), size))], schema=HELD)
+
+    held = sets.mapInArrow(run, "key long, node long, need long")
+    shared = held.repartitionByRange("key", "node").sortWithinPartitions("key").mapInArrow(shared_keys, "key long, node long, need long, n int")
+    mine = Window.partitionBy("node")
+    place = F.row_number().over(mine.orderBy("n", "key"))
+    return (shared.select("key", "node", (F.count("*").over(mine) - F.col("need") + 1).alias("_first"), place.alias("_place"))
+            .where("_place <= _first").select(F.col("key").alias("cell"), "node"))
+
+
 def _member_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """(region, total, class, grams) of the classes in ``members`` (doc_id, version, class, region, total).
     Rows that repeat id and text are one before they are dealt, so a class sends one set."""
@@ -493,13 +562,13 @@ def region_links(sets: DataFrame, num: int, den: int, task_grams: int = 1_000_00
 
     ``task_grams`` bounds the n-grams that one task compares at once.  Small
     regions go to a task together.  A larger one is dealt once more by rare
-    n-grams, which parts sets that met because many share a passage; what is
-    still large is divided by pivots, or, where pivots do not divide it, by size;
+    n-grams, which parts sets that met because many share a passage, by hashed and
+    then by exact counts; what is still large is divided by pivots, or, where pivots do not divide it, by size;
     parts that exceed two tasks are compared by pairs of blocks.
     """
     # Each kind of part is joined and written by itself: its copies of the sets are gone before the next are made.
     links = []
-    for again in (False, True):
+    for deal in (_rare_cells, _counted_cells, None):
         small = sets.where(F.col("total") <= task_grams)
         # Buckets of about a quarter of a task, and never over a task and a quarter.
         n = small.agg(F.sum(F.octet_length("grams") / 8)).first()[0] or 0
@@ -510,8 +579,8 @@ def region_links(sets: DataFrame, num: int, den: int, task_grams: int = 1_000_00
         del small
         if large.isEmpty():
             return _union(links)
-        if not again:
-            found = cut(_meet(_rare_cells(large, num, den)).select("node", F.col("label").alias("_to")))
+        if deal:
+            found = cut(_meet(deal(large, num, den)).select("node", F.col("label").alias("_to")))
             sizes = _with_node(large.select("class", (F.octet_length("grams") / 8).alias("size")))
             regions = found.join(sizes.join(found, "node").groupBy("_to").agg(F.sum("size").cast("long").alias("_total")), "_to")
             sets = cut(_with_node(large.drop("total")).join(regions, "node")

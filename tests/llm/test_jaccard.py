@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parcela.llm import jaccard
@@ -164,3 +165,29 @@ def test_components(spark):
     alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     assert {r.node: r.label for r in components(frame).collect()} == {a: b for a, b in parent.items() if a not in alone}
     assert components(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_keys_in_several_rows(size):
+    """Counts are exact however the rows are cut into batches; the keys at both ends say so."""
+    keys = [1, 1, 2, 3, 3, 3, 4, 5, 5, 6]
+    rows = pa.table({"key": keys, "node": range(10), "need": [1] * 10}, schema=jaccard.HELD)
+    out = pa.Table.from_batches(jaccard.shared_keys(iter(rows.to_batches(max_chunksize=size))), schema=jaccard.SHARED).to_pylist()
+    assert [(r["key"], r["node"], r["n"]) for r in out] == [
+        (1, 0, jaccard.MANY), (1, 1, jaccard.MANY), (3, 3, 3), (3, 4, 3), (3, 5, 3), (5, 7, 2), (5, 8, 2), (6, 9, jaccard.MANY)]
+
+
+def test_a_shared_passage_makes_no_block_pairs(spark, monkeypatch):
+    """Sets that share a passage and little else are parted by exact counts, where hashed counts cannot tell."""
+    rng = np.random.default_rng(3)
+    draw = lambda k: rng.integers(0, 2 ** 63, k, dtype=np.uint64)
+    passage = draw(60)
+    sets = [np.unique(np.concatenate([passage, draw(40)])) for _ in range(60)]
+    sets += [np.unique(np.append(s[:-4], draw(2))) for s in sets[:5]]
+    rows = [(7, sum(map(len, sets)), b"%08d" % k, s.tobytes()) for k, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "region long, total long, class binary, grams binary").repartition(3)
+    rare = jaccard._rare_cells
+    monkeypatch.setattr(jaccard, "_rare_cells", lambda *a: rare(*a, buckets=1))
+    monkeypatch.setattr(jaccard, "_block_pairs", lambda *a: pytest.fail("pairs of blocks"))
+    links = jaccard.region_links(frame, 80, 100, task_grams=400).collect()
+    assert sorted((min(int(r.a), int(r.b)), max(int(r.a), int(r.b))) for r in links) == [(k, 60 + k) for k in range(5)]
