@@ -12,9 +12,12 @@ with equal sets are one class.
    divided by projections instead: its n-grams are dealt by hash to more parts
    than a link can have differences; linked classes agree wholly on a part, so
    they meet in the cell of that part's content.  Classes that meet in cells
-   make up a region; a region that is still large is dealt again on its own,
-   by those of its n-grams that are rarest in it, told by hashed counts and, if
-   that leaves it large, by exact ones.
+   and whose sketches allow a link make up a region: else sets that share one
+   n-gram would join ever larger regions as the corpus grows.  A sketch bounds
+   the distance of two sets from below and so parts no linked sets.  A region
+   that is still large is dealt again on its own, by those of its n-grams that
+   are rarest in it, told by hashed counts and, if that leaves it large, by
+   exact ones.
 3. Within a region document pivots tell something.  Classes go to the nearest
    pivot (its Voronoi cell) and also to any pivot whose distance is within
    twice the join radius of that, which the triangle inequality proves enough;
@@ -88,6 +91,28 @@ def _sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return np.split(h, ends[:-1]) if len(ends) else []
 
 
+#: Words of 64 bits of a sketch, at least and at most: sets beyond 49,000 n-grams are told apart less well, no more.
+SKETCH_WORDS = (4, 512)
+
+
+def sketches(h: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Of each set its size, and for each hash bucket whether it holds an odd number of the n-grams.
+
+    Buckets that differ between two sets hold a difference each, so there are at least as
+    many differences.  Buckets are a power of two, at least 2 / 3 of the size, so that
+    sets with little in common differ in far more buckets than linked ones can.
+    """
+    size = np.diff(ends, prepend=0)
+    least, most = SKETCH_WORDS
+    words = np.clip(2 ** np.ceil(np.log2(np.maximum(size, 1) / 96)), least, most).astype(np.int64)
+    upto = np.cumsum(words)
+    doc = np.repeat(np.arange(len(size)), size)
+    bucket = mix(h ^ np.uint64(0x5EED)) & (64 * words[doc] - 1).astype(np.uint64)
+    odd = np.bincount(64 * (upto - words)[doc] + bucket.astype(np.int64), minlength=64 * int(words.sum())) & 1
+    bits = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [int(n).to_bytes(8, "little") + bits[8 * (z - w):8 * z] for n, w, z in zip(size, words, upto)]
+
+
 # --- rings and cells --------------------------------------------------------------------------------------------------
 
 @functools.lru_cache(maxsize=4)
@@ -183,6 +208,116 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(mix(np.array([cell])).view(np.int64)), pa.array([lo], pa.int64())], schema=PAIR)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool, bool]]:
+    """(rows, first, last): rows sorted by their first column, equal ones together; whether
+    the partition begins or ends with them, so that other partitions may hold more of that run."""
+    waiting, last, opens = [], None, True        # rows of the run that the next batch may go on with, and those before
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        if last is not None and key[-1] != last:
+            rows = pa.Table.from_batches([*waiting, batch])
+            upto = rows.num_rows - int((key == key[-1]).sum())
+            yield rows.slice(0, upto).combine_chunks(), opens, False
+            waiting, opens = rows.slice(upto).to_batches(), False
+        else:
+            waiting.append(batch)
+        last = key[-1]
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks(), opens, True
+
+
+MEETING = pa.schema([("meeting", pa.int64()), ("node", pa.int64())])
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(meeting, node) of rows (cell, node) sorted so: cells with the same nodes are one meeting, and
+    cells with one node are none.  A cell that may go on in other partitions is named by itself."""
+    for rows, opens, ends in whole_runs(batches):
+        cell, node = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        fresh = np.ones(len(cell), bool)
+        fresh[1:] = (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])
+        cell, node = cell[fresh], node[fresh]
+        start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        size = np.diff(start, append=len(cell))
+        name = mix(np.add.reduceat(mix(node), start) + size.astype(np.uint64))
+        open_ended = np.zeros(len(start), bool)
+        open_ended[0] |= opens
+        open_ended[-1] |= ends
+        name[open_ended] = mix(cell[start[open_ended]])
+        keep = np.repeat(open_ended | (size > 1), size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[keep].view(np.int64)), pa.array(node[keep])], schema=MEETING)
+
+
+def may_link(sketch: pa.ChunkedArray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the sketches numbered ``i`` and ``j`` allow a link of their sets; a null one allows any."""
+    sketch = sketch.combine_chunks().cast(pa.large_binary())
+    length = np.nan_to_num(pa.compute.binary_length(sketch).to_numpy(zero_copy_only=False)).astype(np.int64) // 8
+    held = np.frombuffer(b"".join(x for x in sketch.to_pylist() if x), "<u8")
+    start = np.cumsum(length) - length
+    good = np.ones(len(i), bool)
+    kind = length[i] << 32 | length[j]
+    for k in np.unique(kind).tolist():
+        m, n = k >> 32, k & 0xFFFFFFFF
+        if not m or not n:
+            continue
+        these = np.flatnonzero(kind == k)
+        step = max(1, (1 << 20) // max(m, n))
+        for some in (these[x:x + step] for x in range(0, len(these), step)):
+            a = held[start[i[some]][:, None] + np.arange(m)]
+            b = held[start[j[some]][:, None] + np.arange(n)]
+            size, other = a[:, 0].astype(np.int64), b[:, 0].astype(np.int64)
+            a, b = a[:, 1:], b[:, 1:]
+            while a.shape[1] > b.shape[1]:       # half as many buckets
+                a = a[:, :a.shape[1] // 2] ^ a[:, a.shape[1] // 2:]
+            while b.shape[1] > a.shape[1]:
+                b = b[:, :b.shape[1] // 2] ^ b[:, b.shape[1] // 2:]
+            differ = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+            shared = np.minimum(np.minimum(size, other), (size + other - differ) // 2)
+            good[some] = den * shared >= num * (size + other - shared)
+    return good
+
+
+def sketched_stars(num: int, den: int, most: int = 1024):
+    """As ``stars``, over rows (meeting, node, sketch), but a node is only tied to those that its
+    sketch allows links with, on their own or by way of others.  Meetings of more than
+    ``most`` nodes, and those that other partitions may hold more of, are tied as they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, opens, ends in whole_runs(batches):
+            meeting, node = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            start = np.flatnonzero(np.concatenate(([True], meeting[1:] != meeting[:-1])))
+            size = np.diff(start, append=len(meeting))
+            tested = size <= most
+            tested[0] &= not opens
+            tested[-1] &= not ends
+            root = np.where(np.repeat(tested, size), np.arange(len(node)), np.repeat(start, size))
+            after = np.where(np.repeat(tested, size), np.repeat(start + size, size) - 1 - np.arange(len(node)), 0)
+            upto, done = np.cumsum(after), 0
+            while done < len(node):              # all pairs of some rows with later ones
+                z = max(done + 1, int(np.searchsorted(upto, upto[done] - after[done] + (1 << 20), "right")))
+                n = after[done:z]
+                i = np.repeat(np.arange(done, z), n)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                good = may_link(rows.column(2).slice(done, z - done + most), i - done, j - done, num, den)
+                before = np.flatnonzero(root != np.arange(len(node)))
+                i, j, done = np.append(i[good], before), np.append(j[good], root[before]), z
+                while len(i):                    # the least of all that reach each other
+                    least = np.minimum(root[i], root[j])
+                    if (least == root[i]).all() and (least == root[j]).all():
+                        break
+                    for at in (root[i], root[j], i, j):
+                        np.minimum.at(root, at, least)
+                    root = root[root]
+            tied = root != np.arange(len(node))
+            a, b = node[tied], node[root[tied]]
+            for at in {*[0] * opens, *[len(start) - 1] * ends}:
+                a, b = np.append(a, mix(meeting[start[at]:start[at] + 1]).view(np.int64)), np.append(b, node[start[at]])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=PAIR)
+
+    return run
+
+
 def _meet(cells: DataFrame) -> DataFrame:
     """(node, label): regions of nodes that meet in cells (cell, node).
 
@@ -192,6 +327,16 @@ def _meet(cells: DataFrame) -> DataFrame:
     return components(edges)
 
 
+def _meet_by_sketch(cells: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
+    """As ``_meet``, of nodes that meet in cells and whose sketches (node, sketch) allow a link."""
+    ranged = cells.repartitionByRange("cell", "node").sortWithinPartitions("cell", "node")
+    # The cells are gone before the sketches are dealt; near copies that meet in many cells are dealt once.
+    met = cut(ranged.mapInArrow(meetings, "meeting long, node long").distinct())
+    dealt = met.join(sketched, "node", "left").select("meeting", "node", "sketch")
+    edges = dealt.repartitionByRange("meeting", "node").sortWithinPartitions("meeting", "node").mapInArrow(sketched_stars(num, den), "a long, b long")
+    return components(edges)
+
+
 # --- exact join within a region ----------------------------------------------------------------------------------------
 
 def voronoi(to: np.ndarray, radius: float, reach: float) -> np.ndarray:
@@ -306,21 +451,22 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, version, n_shingles, class, node) of every row; equal sets have equal classes.
+    """(doc_id, version, n_shingles, class, node, sketch) of every row; equal sets have equal classes.
     ``version`` is the hash of the text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("node", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("node", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, limit=CHUNK):
-                sets = _sets(column_bytes(part.column("text")), n)
+                h, ends = shingle_sets(column_bytes(part.column("text")), n)
+                sets = np.split(h, ends[:-1])
                 names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("version"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array(names, pa.binary()), pa.array(map(_node, names), pa.int64())], schema=schema)
+                     pa.array(names, pa.binary()), pa.array(map(_node, names), pa.int64()), pa.array(sketches(h, ends), pa.binary())], schema=schema)
 
     return (_texts(docs).withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
-            .mapInArrow(run, "doc_id long, version long, n_shingles long, class binary, node long"))
+            .mapInArrow(run, "doc_id long, version long, n_shingles long, class binary, node long, sketch binary"))
 
 
 def _node(name: bytes) -> int:
@@ -413,7 +559,6 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     The first and the last key may go on in other partitions: their number is ``MANY`` wherever they stand.
     """
     def counted(rows: pa.Table, opens: bool, ends: bool) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
         key = rows.column("key").to_numpy()
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(start, append=len(key))
@@ -426,21 +571,8 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = rows.append_column("n", pa.array(n)).filter(pa.array(n > 1)).combine_chunks()
         return out.to_batches()[0] if out.num_rows else to_batch([], SHARED)
 
-    waiting, last, opens = [], None, True        # rows of the key that the next batch may go on with, and those before
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy()
-        if last is not None and key[-1] != last:
-            rows = pa.Table.from_batches([*waiting, batch])
-            upto = rows.num_rows - int((key == key[-1]).sum())
-            yield counted(rows.slice(0, upto), opens, False)
-            waiting, opens = rows.slice(upto).to_batches(), False
-        else:
-            waiting.append(batch)
-        last = key[-1]
-    if waiting:
-        yield counted(pa.Table.from_batches(waiting), opens, True)
+    for rows, opens, ends in whole_runs(batches):
+        yield counted(rows, opens, ends)
 
 
 def _counted_cells(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -627,7 +759,9 @@ def _rows_and_sets(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFra
     rows = cut(classes(docs, n))
     named = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     first = named.groupBy("class", "node", "n_shingles").agg(F.min(F.struct("doc_id", "version")).alias("r"))
-    regions = _meet(document_cells(docs, n, num, den)).withColumnRenamed("label", "region")
+    # Should two classes share a node, it has no sketch and is tied to all that it meets.
+    sketched = named.groupBy("node").agg(F.min("sketch").alias("_a"), F.max("sketch").alias("_z")).select("node", F.expr("IF(_a = _z, _a, NULL)").alias("sketch"))
+    regions = _meet_by_sketch(document_cells(docs, n, num, den), sketched, num, den).withColumnRenamed("label", "region")
     members = cut(first.join(regions, "node").select("r.doc_id", "r.version", "class", "region", "n_shingles"))
     alone = members.groupBy("region").agg(F.sum("n_shingles").cast("long").alias("total"), F.count("*").alias("_rows")).where("_rows > 1")
     members = members.join(alone, "region").select("doc_id", "version", "class", "region", "total")

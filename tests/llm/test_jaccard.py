@@ -191,3 +191,77 @@ def test_a_shared_passage_makes_no_block_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_block_pairs", lambda *a: pytest.fail("pairs of blocks"))
     links = jaccard.region_links(frame, 80, 100, task_grams=400).collect()
     assert sorted((min(int(r.a), int(r.b)), max(int(r.a), int(r.b))) for r in links) == [(k, 60 + k) for k in range(5)]
+
+
+def test_sketches_part_no_linked_sets(monkeypatch):
+    """Linked sets always may link, also where sketches differ in length or are cut short; unrelated ones may not."""
+    rng = np.random.default_rng(4)
+    draw = lambda k: rng.integers(0, 2 ** 63, k, dtype=np.uint64)
+    for most in (512, 4):
+        monkeypatch.setattr(jaccard, "SKETCH_WORDS", (4, most))
+        for num, den in [(90, 100), (80, 100), (50, 100)]:
+            sets, linked = [], []
+            for size in [1, 2, 9, 30, 57, 200, 380, 390, 760, 1500]:
+                for _ in range(15):
+                    a = draw(size)
+                    kept = int(rng.integers(-(-num * size // den), size + 1))
+                    b = np.append(a[:kept], draw(int(rng.integers(0, max(0, (kept * den - num * size) // num) + 1))))
+                    linked.append((len(sets), len(sets) + 1))
+                    sets += [np.sort(a), np.sort(b)]
+            ends = np.cumsum([len(x) for x in sets])
+            sketch = pa.chunked_array([pa.array([*jaccard.sketches(np.concatenate(sets), ends), None], pa.binary())])
+            i, j = np.array(linked).T
+            assert jaccard.may_link(sketch, i, j, num, den).all()
+            assert jaccard.may_link(sketch, i, np.full(len(i), len(sets)), num, den).all()     # no sketch: any
+            if most == 512 and num >= 80:
+                large = i[np.diff(ends, prepend=0)[i] >= 30]
+                assert jaccard.may_link(sketch, large[:-2], large[2:], num, den).mean() < 0.02
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+@pytest.mark.parametrize("most", [3, 1024])
+def test_sketched_stars(size, most):
+    """Whatever the batches, nodes of a meeting are tied if their sketches allow it, and all of a meeting
+    that is large or at an end of the partition, which is also tied to a node of its own."""
+    rng = np.random.default_rng(6)
+    draw = lambda k: np.sort(rng.integers(0, 2 ** 63, k, dtype=np.uint64))
+    a, b, c = draw(100), draw(100), draw(100)
+    sets = [a, b, np.append(a[:-2], draw(1)), c, np.append(b[:-2], draw(1)), np.append(a[:-2], draw(1))]
+    sketch = jaccard.sketches(np.concatenate(sets), np.cumsum([len(x) for x in sets]))
+    rows = [(m, 10 * m + k, sketch[k]) for m, which in [(1, [0, 1]), (2, [0, 1, 2, 3, 4, 5]), (3, [0, 1]), (4, [1, 3, 4]), (5, [3]), (6, [1, 3])] for k in which]
+    frame = pa.table(list(zip(*rows)) and [pa.array(x) for x in zip(*rows)], names=["meeting", "node", "sketch"])
+    out = pa.Table.from_batches(jaccard.sketched_stars(90, 100, most)(iter(frame.to_batches(max_chunksize=size))), schema=jaccard.PAIR).to_pylist()
+    end = [int(jaccard.mix(np.array([m])).view(np.int64)[0]) for m in (1, 6)]
+    inside = [(22, 20), (24, 21), (25, 20)] if most > 3 else [(20 + k, 20) for k in range(1, 6)]
+    want = [(11, 10), (end[0], 10), *inside, (44, 41), (63, 61), (end[1], 61)]
+    assert sorted((r["a"], r["b"]) for r in out) == sorted(want)
+
+
+@pytest.mark.parametrize("size", [1, 4, 1000])
+def test_meetings(size):
+    """Cells with the same nodes make one meeting; cells with one node make none, but at the ends."""
+    rows = [(1, 5), (2, 5), (2, 5), (3, 5), (3, 6), (4, 5), (4, 6), (4, 6), (5, 5), (5, 6), (5, 7), (6, 8)]
+    frame = pa.table([pa.array(x, pa.int64()) for x in zip(*rows)], names=["cell", "node"])
+    out = pa.Table.from_batches(jaccard.meetings(iter(frame.to_batches(max_chunksize=size))), schema=jaccard.MEETING).to_pylist()
+    by_name = {}
+    for r in out:
+        by_name.setdefault(r["meeting"], []).append(r["node"])
+    assert sorted(by_name.values()) == [[5], [5, 6, 5, 6], [5, 6, 7], [8]]
+
+
+def test_few_common_grams_make_no_region(spark):
+    """Texts that share a few phrases, each alone in many a part, are not sent on; linked ones are, and are found."""
+    rng = random.Random(9)
+    phrases = [[f"p{k}x{i}" for i in range(3)] for k in range(30)]
+
+    def text():
+        blocks = [[f"w{rng.randrange(10 ** 9)}" for _ in range(4)] for _ in range(20)]
+        return sum((x for b in blocks for x in (b, rng.choice(phrases))), [])
+
+    texts = [text() for _ in range(150)]
+    texts += [[*t[:-1], "other"] for t in texts[:4]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = jaccard.join_components(docs, 3, 80, 100).where("component_id < doc_id").collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(150 + k, k) for k in range(4)]
+    assert jaccard._rows_and_sets(docs, 3, 80, 100)[2].count() <= 40     # a few meet where a partition ends
